@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import line_dedup, packing
+from plumbline.llm import line_dedup, minhash_dedup, packing
 from plumbline.llm.common import table
 
 QUERIES = {
     "op3_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
     "op7_best_fit_packing": lambda spark, sf_dir: packing.pack_documents(table(spark, sf_dir, "documents")),
+    "op10_minhash_near_dedup": lambda spark, sf_dir: minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")),
 }
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
