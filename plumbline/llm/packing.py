@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, texts
 
 #: A process keeps the ids of so many space-separated chunks; others are encoded anew.
-CACHED = 1_000_000
+CACHED = 600_000
+#: Documents that are split into chunks at once.
+AT_ONCE = 128
 _known: dict[str, tuple] = {}
 #: White space next to a space, or other than spaces and line feeds.
 _UNEVEN = re.compile(r"[^\S \n]|  | \n|\n ")
@@ -91,7 +93,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int =
         encode = _encoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for doc_id, b in zip(batch["doc_id"], encode(list(batch["text"])), strict=True):
+            some = list(batch["text"])
+            encoded = (b for i in range(0, len(some), AT_ONCE) for b in encode(some[i : i + AT_ONCE]))
+            for doc_id, b in zip(batch["doc_id"], encoded, strict=True):
                 b += end
                 n = len(b) // 4
                 ends = range(n - (n - 1) // length * length, n + 1, length)
