@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import embedding_dedup, line_dedup, minhash_dedup, packing
+from plumbline.llm import embedding_dedup, line_dedup, minhash_dedup, packing, substring_dedup
 from plumbline.llm.common import table
 
 QUERIES = {
     "op3_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
+    "op4_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")),
     "op7_best_fit_packing": lambda spark, sf_dir: packing.pack_documents(table(spark, sf_dir, "documents")),
     "op8_embedding_near_dedup": lambda spark, sf_dir: embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
     "op10_minhash_near_dedup": lambda spark, sf_dir: minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")),
