@@ -7,9 +7,11 @@ and equal registers estimate the similarity jointly by maximum likelihood, and f
 
 Copies with equal sets are one class throughout. Inside a bucket, members are compared with one leader, drawn
 anew for each bucket; only where verified links leave a bucket in several components are the members outside
-its leader's component compared with all members of other components. So a bucket of copies costs a comparison
-a member, and no pair in a bucket stays untested unless links join it anyway. With m = 64 in bands of 4, a pair
-at similarity 0.85 shares no bucket with a chance below 1e-5.
+its leader's component compared with all members of other components: pair by pair in small buckets, and in
+larger ones tile against tile, where a task compares wide sketches and gives only the pairs that look similar
+enough. So a bucket of linked copies costs a comparison a member, and no pair in a bucket stays untested unless
+links join it anyway. With 64 registers in bands of 4, a pair at similarity 0.85 shares no bucket with a chance
+below 1e-5; the wide sketch of 512 registers loses it with a chance of about 1e-4.
 
 Defined results: a document without words or text has an empty set, component_id = doc_id, and no links. Rows
 that repeat a doc_id are one document, linked if any of its rows link. A null doc_id links with nothing, has a
@@ -30,17 +32,21 @@ from plumbline.llm.words import hashes, mix, shingles, words
 
 #: Registers, registers a band, base and rate of the sketch, and its largest register value.
 M, BAND, BASE, RATE, TOP = 64, 4, 1.02, 20.0, 4095
-#: Estimates below this similarity aren't verified: over five standard errors under 0.8.
-UNLIKELY = 0.55
+#: Registers of the wide sketch that documents in shared buckets get.
+WIDE = 512
+#: Estimates so far below the least similarity aren't verified: about four standard errors of the wide sketch.
+SLACK = 0.06
+#: Members of a bucket up to which its open pairs are listed; rows of a tile beyond that.
+FEW, TILE = 32, 512
 #: Members that one task run compares with one document.
 CHUNK = 256
 
-_SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, WIDE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers, a row of M for each non-empty set of 64-bit hashes."""
-    out = np.empty((len(sets), M), np.uint16)
+def registers(sets: list[np.ndarray], m: int = M) -> np.ndarray:
+    """SetSketch registers, a row of m for each non-empty set of 64-bit hashes."""
+    out = np.empty((len(sets), m), np.uint16)
     done = 0
     while done < len(sets):
         end, size = done, 0
@@ -49,8 +55,8 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         flat = np.concatenate(sets[done:end])
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[done : end - 1]], dtype=np.int64)))
-        low = np.empty((end - done, M), np.uint64)
-        for j in range(M):
+        low = np.empty((end - done, m), np.uint64)
+        for j in range(m):
             low[:, j] = np.minimum.reduceat(flat * _SEEDS[j], starts)
         x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64).clip(max=745) / RATE
         out[done:end] = np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP)
@@ -97,39 +103,51 @@ def sketches(docs: DataFrame, k: int = 3) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """rep, elements (the sorted set), wide (sketch) and n_shingles of the documents in `needed` (rep)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(hashes(words(t)), k) for t in batch["text"]]
+            ids = batch["doc_id"].to_numpy()
+            full = [i for i, s in enumerate(sets) if len(s)]
+            if full:
+                sets = [sets[i] for i in full]
+                wide = registers(sets, WIDE).astype("<u2")
+                yield pd.DataFrame(
+                    {"rep": ids[full], "elements": [s.astype("<u8").tobytes() for s in sets], "wide": [w.tobytes() for w in wide], "n_shingles": [len(s) for s in sets]}
+                )
+
+    some = texts(docs).join(needed.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    return some.mapInPandas(run, "rep long, elements binary, wide binary, n_shingles long")
+
+
+def _estimated(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that the registers don't rule out."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("wide").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                ra, rb = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, M) for c in ("s_a", "s_b"))
-                na, nb = (batch[c].to_numpy(float) for c in ("n_a", "n_b"))
-                yield batch.loc[likely_similarity(ra, rb, na, nb) >= UNLIKELY, ["a", "b"]]
+            for i in range(0, len(batch), 1024):
+                part = batch.iloc[i : i + 1024]
+                ra, rb = (np.frombuffer(b"".join(part[c]), "<u2").reshape(-1, WIDE) for c in ("s_a", "s_b"))
+                na, nb = (part[c].to_numpy(float) for c in ("n_a", "n_b"))
+                yield part.loc[likely_similarity(ra, rb, na, nb) >= least, ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     A document with many partners is compared in chunks of them, each with a copy of its set.
     """
-    spark = pairs.sparkSession
-    n = parts(spark)
+    n = parts(pairs.sparkSession)
     counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = cut(pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b"))
-    firsts = dealt.select("a", "chunk").distinct()
-    needed = dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct()
-
-    def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "elements": [shingles(hashes(words(t)), k).astype("<u8").tobytes() for t in batch["text"]]})
-
-    sets = cut(texts(docs).join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInPandas(as_sets, "doc_id long, elements binary"))
-    rows = firsts.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "elements")
-    rows = rows.union(dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", "b", "elements"))
+    of = lambda x: sets.select(F.col("rep").alias(x), "elements")
+    rows = dealt.select("a", "chunk").distinct().join(of("a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "elements")
+    rows = rows.union(dealt.join(of("b"), "b").select("a", "chunk", "b", "elements"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, firsts = None, []
@@ -146,7 +164,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     if 100 * min(len(f), len(s)) < percent * max(len(f), len(s)):
                         continue
                     both = len(np.intersect1d(f, s, assume_unique=True))
-                    if both and 100 * both >= percent * (len(f) + len(s) - both):
+                    if 100 * both >= percent * (len(f) + len(s) - both):
                         found.append((int(a), int(b)))
                         break
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -156,8 +174,54 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     )
 
 
+def _open_pairs(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components, one of them outside the leader's.
+
+    placed: bucket, n (its members), rep, c (component), c_leader, for buckets with several components.
+    """
+    few = placed.filter(F.col("n") <= FEW)
+    other = few.select("bucket", F.col("rep").alias("other"), F.col("c").alias("c_other"))
+    listed = few.filter("c <> c_leader").join(other, "bucket").filter("c <> c_other and (c_other = c_leader or rep < other)")
+    many = placed.filter(F.col("n") > FEW).withColumn("inner", F.col("c") == F.col("c_leader"))
+    sizes = many.groupBy("bucket").agg(
+        F.ceil(F.count_if("inner") / TILE).cast("int").alias("inner_tiles"), F.ceil(F.count_if(~F.col("inner")) / TILE).cast("int").alias("outer_tiles")
+    )
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("inner_tiles")).otherwise(F.col("outer_tiles"))).cast("int")
+    # Tile pairs (t1, t2): outer with outer, t1 <= t2; outer t1 with inner t2, counted from -1 down.
+    meets = F.expr(
+        """if(inner, transform(sequence(0, outer_tiles - 1), i -> struct(i as t1, -1 - own as t2)),
+               concat(transform(sequence(0, outer_tiles - 1), i -> struct(least(i, own) as t1, greatest(i, own) as t2)),
+                      if(inner_tiles = 0, array(), transform(sequence(1, inner_tiles), i -> struct(own as t1, -i as t2)))))"""
+    )
+    tiled = (
+        many.join(sizes, "bucket")
+        .filter("outer_tiles > 0")
+        .withColumn("own", own)
+        .withColumn("meet", F.explode(meets))
+        .join(sets.select("rep", "wide"), "rep")
+        .select("bucket", "meet.t1", "meet.t2", "rep", "c", "inner", "wide")
+    )
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        r = np.frombuffer(b"".join(rows["wide"]), "<u2").reshape(-1, WIDE).astype(np.uint8).T.copy()
+        ids, c, inner = (rows[x].to_numpy() for x in ("rep", "c", "inner"))
+        rows_of = np.flatnonzero(~inner)
+        same = np.zeros((len(rows_of), len(ids)), np.uint16)
+        for register in r:
+            same += register[rows_of][:, None] == register[None, :]
+        near = (same >= least * WIDE) & (c[rows_of][:, None] != c[None, :])
+        if rows["t2"].iloc[0] < 0:
+            near &= inner[None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": np.minimum(ids[rows_of[i]], ids[j]), "b": np.maximum(ids[rows_of[i]], ids[j])}).drop_duplicates()
+
+    found = tiled.groupBy("bucket", "t1", "t2").applyInPandas(meet, "a long, b long")
+    return listed.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).union(found).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """Every row of `docs`: doc_id, n_shingles, component_id, kept."""
+    least = percent / 100 - SLACK
     made = cut(sketches(docs, k))
     reps = cut(
         made.filter("n_shingles > 0 and doc_id is not null")
@@ -171,35 +235,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
             F.explode(F.expr(f"transform(sequence(0, {M // BAND - 1}), i -> xxhash64(i, substring(sketch, i * {width} + 1, {width})))")).alias("bucket"),
         ).distinct()
     )
-    leaders = cut(
+    leaders = (
         bands.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "rep"), "rep")).alias("first"))
         .filter("n > 1")
-        .select("bucket", F.col("first.rep").alias("leader"))
+        .select("bucket", "n", F.col("first.rep").alias("leader"))
     )
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     crowded = cut(bands.join(leaders, "bucket"))
-    pairs = crowded.filter("rep <> leader").select(*ordered("leader", "rep")).distinct()
-    links = cut(verified(cut(_estimated(pairs, reps)), docs, k, percent))
+    sets = cut(full_sets(docs, crowded.select("rep").distinct(), k))
+    pairs = crowded.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    links = cut(verified(cut(_estimated(pairs, sets, least)), sets, percent))
     named = components(links)
-    # What is left: members of a bucket that lie in other components than its leader.
     of = lambda x: named.select(F.col("node").alias(x), F.col("component_id").alias(f"c_{x}"))
-    placed = crowded.join(of("rep"), "rep", "left").join(of("leader"), "leader", "left").select(
-        "bucket", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_leader", "leader").alias("c_leader"), "leader"
-    )
-    outside = cut(placed.filter("c <> c_leader"))
-    open_buckets = outside.select("bucket").distinct()
-    inside = placed.join(open_buckets, "bucket", "left_semi").filter("rep <> leader").select(
-        "bucket", F.col("rep").alias("other"), F.col("c").alias("c_other"), "c_leader"
-    )
-    rest = (
-        outside.select("bucket", "rep", "c")
-        .join(inside, "bucket")
-        .filter("c <> c_other and (c_other = c_leader or rep < other)")
-        .select(*ordered("rep", "other"))
-        .distinct()
+    placed = cut(
+        crowded.join(of("rep"), "rep", "left")
+        .join(of("leader"), "leader", "left")
+        .select("bucket", "n", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_leader", "leader").alias("c_leader"))
     )
-    more = cut(verified(cut(_estimated(rest, reps)), docs, k, percent))
+    still_open = placed.groupBy("bucket").agg(F.count_if(F.col("c") != F.col("c_leader")).alias("outside")).filter("outside > 0")
+    rest = _open_pairs(cut(placed.join(still_open.select("bucket"), "bucket", "left_semi")), sets, least)
+    more = cut(verified(cut(_estimated(cut(rest), sets, least)), sets, percent))
     named = components(links.union(more))
     classes = reps.join(of("rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("c_rep", "rep").alias("class_id"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
