@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from plumbline.llm import embedding_dedup, line_dedup, minhash_dedup, packing, substring_dedup
+from plumbline.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, substring_dedup, url_filter
 from plumbline.llm.common import table
 
 QUERIES = {
     "op3_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
     "op4_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")),
+    "op5_benchmark_decontamination": lambda spark, sf_dir: decontamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ),
+    "op9_url_filter": lambda spark, sf_dir: url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
     "op7_best_fit_packing": lambda spark, sf_dir: packing.pack_documents(table(spark, sf_dir, "documents")),
     "op8_embedding_near_dedup": lambda spark, sf_dir: embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
     "op10_minhash_near_dedup": lambda spark, sf_dir: minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")),
 }
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op5_benchmark_decontamination": decontamination.ORACLE}
