@@ -213,7 +213,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     base = cut(summaries(docs))
     first = base.filter("doc_id is not null and n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("owner"))
     named = cut(base.join(first, ["f1", "f2", "n_words"], "left"))
-    own = named.filter("doc_id = owner and size(keys) > 0").select("doc_id", "f1", F.explode("keys").alias("key")).distinct()
+    own = named.filter("doc_id = owner and size(keys) > 0").select("doc_id", "f1", F.explode("keys").alias("key"))
     shared = own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
     keys = own.join(shared, "key").groupBy("doc_id", "f1").agg(F.collect_list("key").alias("shared"))
     suspects = cut(
