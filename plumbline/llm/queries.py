@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, quality, substring_dedup, url_filter
+from plumbline.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from plumbline.llm.common import table
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     ),
     "op9_url_filter": lambda spark, sf_dir: url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
+    "op6_toxicity": lambda spark, sf_dir: toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_best_fit_packing": lambda spark, sf_dir: packing.pack_documents(table(spark, sf_dir, "documents")),
     "op8_embedding_near_dedup": lambda spark, sf_dir: embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
     "op10_minhash_near_dedup": lambda spark, sf_dir: minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")),
