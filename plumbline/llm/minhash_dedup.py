@@ -8,8 +8,7 @@ and equal registers estimate the similarity jointly by maximum likelihood, and f
 Copies with equal sets are one class throughout. Inside a bucket, members are compared with one leader, drawn
 anew for each bucket; only where verified links leave a bucket in several components are the members outside
 its leader's component compared with all members of other components: pair by pair in small buckets, and in
-larger ones tile against tile, where a task compares wide sketches and gives only the pairs that look similar
-enough. So a bucket of linked copies costs a comparison a member, and no pair in a bucket stays untested unless
+larger ones tile against tile, where a task compares wide sketches, then full sets, and gives only links. So a bucket of linked copies costs a comparison a member, and no pair in a bucket stays untested unless
 links join it anyway. With 64 registers in bands of 4, a pair at similarity 0.85 shares no bucket with a chance
 below 1e-5; the wide sketch of 512 registers loses it with a chance of about 1e-4.
 
@@ -37,7 +36,7 @@ WIDE = 512
 #: Estimates so far below the least similarity aren't verified: about four standard errors of the wide sketch.
 SLACK = 0.06
 #: Members of a bucket up to which its open pairs are listed; rows of a tile beyond that.
-FEW, TILE = 32, 512
+FEW, TILE = 32, 768
 #: Members that one task run compares with one document.
 CHUNK = 256
 
@@ -174,16 +173,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _open_pairs(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, one of them outside the leader's.
+def _listed(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a small bucket in different components, one of them outside the leader's.
 
     placed: bucket, n (its members), rep, c (component), c_leader, for buckets with several components.
     """
     few = placed.filter(F.col("n") <= FEW)
     other = few.select("bucket", F.col("rep").alias("other"), F.col("c").alias("c_other"))
-    listed = few.filter("c <> c_leader").join(other, "bucket").filter("c <> c_other and (c_other = c_leader or rep < other)")
-    many = placed.filter(F.col("n") > FEW).withColumn("inner", F.col("c") == F.col("c_leader"))
-    sizes = many.groupBy("bucket").agg(
+    pairs = few.filter("c <> c_leader").join(other, "bucket").filter("c <> c_other and (c_other = c_leader or rep < other)")
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _tiled(placed: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Verified links (a, b) between components of large buckets.
+
+    Large buckets with the same most common component are one family. Members outside that component are compared
+    with all of the family, a tile of at most about TILE rows against another in a task.
+    """
+    many = placed.filter(F.col("n") > FEW)
+    common = many.groupBy("bucket").agg(F.mode("c", True).alias("family"))
+    members = cut(many.join(common, "bucket").select("family", "rep", "c").distinct().withColumn("inner", F.col("c") == F.col("family")))
+    sizes = members.groupBy("family").agg(
         F.ceil(F.count_if("inner") / TILE).cast("int").alias("inner_tiles"), F.ceil(F.count_if(~F.col("inner")) / TILE).cast("int").alias("outer_tiles")
     )
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("inner_tiles")).otherwise(F.col("outer_tiles"))).cast("int")
@@ -194,29 +204,34 @@ def _open_pairs(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                       if(inner_tiles = 0, array(), transform(sequence(1, inner_tiles), i -> struct(own as t1, -i as t2)))))"""
     )
     tiled = (
-        many.join(sizes, "bucket")
-        .filter("outer_tiles > 0")
+        members.join(sizes.filter("outer_tiles > 0"), "family")
         .withColumn("own", own)
         .withColumn("meet", F.explode(meets))
-        .join(sets.select("rep", "wide"), "rep")
-        .select("bucket", "meet.t1", "meet.t2", "rep", "c", "inner", "wide")
+        .join(sets.select("rep", "wide", "elements"), "rep")
+        .select("family", "meet.t1", "meet.t2", "rep", "c", "inner", "wide", "elements")
     )
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(rows["wide"]), "<u2").reshape(-1, WIDE).astype(np.uint8).T.copy()
-        ids, c, inner = (rows[x].to_numpy() for x in ("rep", "c", "inner"))
-        rows_of = np.flatnonzero(~inner)
-        same = np.zeros((len(rows_of), len(ids)), np.uint16)
+        ids, c, inner, elements = (rows[x].to_numpy() for x in ("rep", "c", "inner", "elements"))
+        outer = np.flatnonzero(~inner)
+        same = np.zeros((len(outer), len(ids)), np.uint16)
         for register in r:
-            same += register[rows_of][:, None] == register[None, :]
-        near = (same >= least * WIDE) & (c[rows_of][:, None] != c[None, :])
+            same += register[outer][:, None] == register[None, :]
+        near = (same >= least * WIDE) & (c[outer][:, None] != c[None, :])
         if rows["t2"].iloc[0] < 0:
             near &= inner[None, :]
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"a": np.minimum(ids[rows_of[i]], ids[j]), "b": np.maximum(ids[rows_of[i]], ids[j])}).drop_duplicates()
+        found = []
+        for i, others in enumerate(near):
+            s = np.frombuffer(elements[outer[i]], "<u8") if others.any() else None
+            for j in np.flatnonzero(others):
+                f = np.frombuffer(elements[j], "<u8")
+                both = len(np.intersect1d(f, s, assume_unique=True))
+                if 100 * both >= percent * (len(f) + len(s) - both):
+                    found.append((min(ids[outer[i]], ids[j]), max(ids[outer[i]], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    found = tiled.groupBy("bucket", "t1", "t2").applyInPandas(meet, "a long, b long")
-    return listed.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).union(found).distinct()
+    return tiled.groupBy("family", "t1", "t2").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -253,9 +268,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         .select("bucket", "n", "rep", F.coalesce("c_rep", "rep").alias("c"), F.coalesce("c_leader", "leader").alias("c_leader"))
     )
     still_open = placed.groupBy("bucket").agg(F.count_if(F.col("c") != F.col("c_leader")).alias("outside")).filter("outside > 0")
-    rest = _open_pairs(cut(placed.join(still_open.select("bucket"), "bucket", "left_semi")), sets, least)
-    more = cut(verified(cut(_estimated(cut(rest), sets, least)), sets, percent))
-    named = components(links.union(more))
+    rest = cut(placed.join(still_open.select("bucket"), "bucket", "left_semi"))
+    more = verified(cut(_estimated(_listed(rest), sets, least)), sets, percent).union(_tiled(rest, sets, least, percent))
+    named = components(links.union(cut(more)))
     classes = reps.join(of("rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("c_rep", "rep").alias("class_id"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return (
