@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from plumbline.llm import decontamination, embedding_dedup, line_dedup, lm_scoring, minhash_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from plumbline.llm.common import table
 
 QUERIES = {
     "op1_quality_classifier": lambda spark, sf_dir: quality.judge(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ).drop("f1"),
+    "op2_lm_scoring": lambda spark, sf_dir: lm_scoring.score(table(spark, sf_dir, "documents")),
     "op3_line_dedup": lambda spark, sf_dir: line_dedup.digest(table(spark, sf_dir, "documents")),
     "op4_substring_dedup": lambda spark, sf_dir: substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")),
     "op5_benchmark_decontamination": lambda spark, sf_dir: decontamination.contaminated(
