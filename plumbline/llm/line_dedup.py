@@ -91,6 +91,17 @@ def dedup_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Dat
     )
 
 
+def strip_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has lost its common lines; n_chars follows if there."""
+    gone = dedup_lines(docs, min_length, min_docs).filter("n_dropped > 0")
+    gone = gone.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("fp"), "kept").dropDuplicates(["id", "fp"])
+    packed = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    both = packed.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("fp")), "left")
+    new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return both.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
