@@ -1,36 +1,7 @@
-"""Registry of the queries over the reference's own operators, and their DuckDB oracles."""
+"""The queries over the reference's own operators: importing their modules registers them."""
 
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from plumbline.tables import table
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name, sql=None):
-    """Register a query, and its oracle where SQL can express it."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-@query(
-    "latest_order_per_customer",
-    """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
-       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-)
-def latest_order_per_customer(spark, sf_dir):
-    latest = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return (
-        table(spark, sf_dir, "orders")
-        .withColumn("rn", F.row_number().over(latest))
-        .filter("rn = 1")
-        .select("o_custkey", "o_orderkey", "o_totalprice")
-    )
+from plumbline.plans import queries_plans  # noqa: F401
+from plumbline.operators import queries_relational, queries_sequence, queries_spatial  # noqa: F401
+from plumbline.registry import ORACLES, QUERIES  # noqa: F401
+from plumbline.sources import queries_sources  # noqa: F401
+from plumbline.streaming import queries_streaming  # noqa: F401
