@@ -1,0 +1,120 @@
+"""Operators whose result depends on the order of rows: one group is one task, in a documented total order.
+
+A group here is a room's, a walk's or a user's rows. Rows of a group come sorted by its key; results are the
+same whatever the partitioning.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def _chosen(rows: DataFrame, group: str, key: str, pick: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        return pdf.iloc[pick(pdf)][[group, key]]
+
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}")
+
+
+def keep_after_last(at: np.ndarray, x: np.ndarray, least_gap: float, most_gap: float, least_move: float) -> np.ndarray:
+    """Places kept: the first; then each at least most_gap after the last kept, or least_gap after it and moved."""
+    kept = [0] if len(at) else []
+    for i in range(1, len(at)):
+        gap = at[i] - at[kept[-1]]
+        if gap >= most_gap or (gap >= least_gap and np.linalg.norm(x[i] - x[kept[-1]]) >= least_move):
+            kept.append(i)
+    return np.array(kept, int)
+
+
+def keyframes(rows: DataFrame, group: str, at: str, coordinates: Sequence[str], least_gap: float, most_gap: float, least_move: float) -> DataFrame:
+    pick = lambda p: keep_after_last(p[at].to_numpy(float), p[list(coordinates)].to_numpy(float), least_gap, most_gap, least_move)
+    return _chosen(rows, group, at, pick)
+
+
+def spaced_places(x: np.ndarray, spacing: float, from_last: bool) -> np.ndarray:
+    """Places kept in order: each far enough from the last kept, or from all kept."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        near = kept[-1:] if from_last else kept
+        if not near or (np.linalg.norm(x[near] - x[i], axis=1) >= spacing).all():
+            kept.append(i)
+    return np.array(kept, int)
+
+
+def spaced(rows: DataFrame, group: str, key: str, coordinates: Sequence[str], spacing: float, from_last: bool) -> DataFrame:
+    return _chosen(rows, group, key, lambda p: spaced_places(p[list(coordinates)].to_numpy(float), spacing, from_last))
+
+
+def densest(rows: DataFrame, group: str, key: str, coordinates: Sequence[str], radius: float) -> DataFrame:
+    """Centres: again and again the row with most rows around it (first on ties), whose neighbours are then covered."""
+
+    def pick(p: pd.DataFrame) -> np.ndarray:
+        x, left, out = p[list(coordinates)].to_numpy(float), np.ones(len(p), bool), []
+        near = np.linalg.norm(x[:, None] - x[None], axis=2) <= radius
+        while left.any():
+            best = int(np.argmax(np.where(left, (near & left).sum(1), -1)))
+            out.append(best)
+            left &= ~near[best]
+        return np.array(out, int)
+
+    return _chosen(rows, group, key, pick)
+
+
+def complete_link(rows: DataFrame, group: str, key: str, coordinates: Sequence[str], tolerance: float) -> DataFrame:
+    """group, key and cluster: the first cluster all of whose members lie within the tolerance, else a new one."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        x, clusters, of = pdf[list(coordinates)].to_numpy(float), [], []
+        for i in range(len(x)):
+            at = next((k for k, members in enumerate(clusters) if (np.linalg.norm(x[members] - x[i], axis=1) <= tolerance).all()), len(clusters))
+            if at == len(clusters):
+                clusters.append([])
+            clusters[at].append(i)
+            of.append(at)
+        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": np.array(of, "int32")})
+
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
+
+
+#: Look distances along a path, in its unit, and the chord ratio of a turn: fixed values.
+LOOKS, CHORD_RATIO = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0), 0.65
+
+
+def turn_place(x: np.ndarray) -> tuple[int, float] | None:
+    """Place and angle of the sharpest reversal of direction: the chord over a look to both sides is short."""
+    along = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(x, axis=0), axis=1))])
+    best = None
+    for look in LOOKS:
+        for i in range(1, len(x) - 1):
+            a, b = np.searchsorted(along, along[i] - look), np.searchsorted(along, along[i] + look)
+            if a < 0 or b >= len(x) or along[i] < look:
+                continue
+            before, after = x[i] - x[a], x[b] - x[i]
+            sizes = np.linalg.norm(before) * np.linalg.norm(after)
+            if not sizes or np.linalg.norm(x[b] - x[a]) > CHORD_RATIO * (along[b] - along[a]):
+                continue
+            angle = float(np.degrees(np.arccos(np.clip(before @ after / sizes, -1, 1))))
+            if best is None or angle > best[1] + 1e-12:
+                best = (i, angle)
+    return best
+
+
+def sharpest_turn(rows: DataFrame, group: str, key: str, coordinates: Sequence[str] = ("x", "y")) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        found = turn_place(pdf[list(coordinates)].to_numpy(float))
+        one = pdf.iloc[[found[0]] if found else []][[group, key]]
+        return one.assign(degrees=[round(found[1], 4)] if found else [])
+
+    return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, degrees double")

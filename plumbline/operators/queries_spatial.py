@@ -1 +1,158 @@
-"""Queries."""
+"""Queries of spatial joins and room kernels."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from plumbline.operators import kernels as K
+from plumbline.operators import spatial
+from plumbline.registry import query
+from plumbline.tables import table
+
+
+@query("nearest_to_anchor", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), a AS (SELECT label, arg_min(e, vec_id) AS a, min(vec_id) AS k FROM e GROUP BY label)
+    SELECT label, vec_id, round(d, 5) AS distance FROM (SELECT label, vec_id, list_distance(e, a) AS d FROM e JOIN a USING (label) WHERE vec_id <> k) QUALIFY row_number() OVER (PARTITION BY label ORDER BY d, vec_id) = 1""")
+def nearest_to_anchor(spark, sf_dir):
+    """Labels are few, one anchor each."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    anchors = e.groupBy("label").agg(F.min_by("e", "vec_id").alias("anchor"), F.min("vec_id").alias("anchor_key"))
+    return spatial.nearest_to_anchor(e, anchors, "label", "vec_id", "e").withColumn("distance", F.round("distance", 5))
+
+
+POINTS = "SELECT p_partkey AS k, p_brand AS b, (p_retailprice - 900) / 20 AS x, (p_size + (p_partkey % 97) / 97.0::DOUBLE) AS y FROM part"
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), ((F.col("p_retailprice") - 900) / 20).alias("x"), (F.col("p_size") + (F.col("p_partkey") % 97) / 97.0).alias("y")
+    )
+
+
+@query("neighbours_within", f"""WITH p AS ({POINTS}) SELECT a.k, count(*) AS n, round(min(sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2)), 6) AS nearest FROM p a JOIN p o ON a.k <> o.k
+    AND sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) <= 1.5 GROUP BY a.k""")
+def neighbours_within(spark, sf_dir):
+    """J18, J19, J20, J30."""
+    p = _points(spark, sf_dir)
+    return spatial.within(p, p, "k", ["x", "y"], 1.5).groupBy("k").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"))
+
+
+@query("closest_pair_by_brand", f"""WITH p AS ({POINTS}) SELECT b, k, other, round(d, 6) AS distance FROM (SELECT a.b, a.k, o.k AS other, sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) AS d FROM p a JOIN p o ON a.b = o.b AND a.k < o.k)
+    WHERE d <= 3 QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, k, other) = 1""")
+def closest_pair_by_brand(spark, sf_dir):
+    """Through the range join, up to a radius."""
+    p = _points(spark, sf_dir)
+    near = spatial.within(p, p, "k", ["x", "y"], 3.0, group="b").filter("k < other")
+    best = near.groupBy("b").agg(F.min(F.struct("distance", "k", "other")).alias("m"))
+    return best.select("b", "m.k", "m.other", F.round("m.distance", 6).alias("distance"))
+
+
+@query("order_windows_overlap", """WITH w AS (SELECT l_orderkey AS k, epoch(min(l_shipdate)) / 86400 AS low, epoch(max(l_shipdate)) / 86400 AS high FROM lineitem WHERE l_suppkey % 25 = 3 GROUP BY 1)
+    SELECT a.k, count(*) AS n, round(sum(least(a.high, b.high) - greatest(a.low, b.low)), 3) AS days FROM w a JOIN w b ON a.k <> b.k AND greatest(a.low, b.low) <= least(a.high, b.high) GROUP BY a.k""")
+def order_windows_overlap(spark, sf_dir):
+    """Interval overlap by cells of 60 days."""
+    day = lambda c: (F.unix_micros(c.cast("timestamp")) / 1e6 / 86400)
+    w = table(spark, sf_dir, "lineitem").filter("l_suppkey % 25 = 3").groupBy(F.col("l_orderkey").alias("k")).agg(day(F.min("l_shipdate")).alias("low"), day(F.max("l_shipdate")).alias("high"))
+    pairs = spatial.overlaps(w, w, "low", "high", 60.0, ["k"]).filter("k <> k_b")
+    return pairs.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("overlap"), 3).alias("days"))
+
+
+@query("points_in_boxes", f"""WITH p AS ({POINTS}), b AS (SELECT s_suppkey AS box, (s_suppkey % 10) * 5.0 AS cx, (s_suppkey % 7) * 7.0 AS cy, 2.0 + s_suppkey % 3 AS hx, 1.0 + s_suppkey % 2 AS hy, s_suppkey * 0.37::DOUBLE AS a FROM supplier)
+    SELECT box, count(*) AS n, min(k) AS first FROM p JOIN b ON abs((x - cx) * cos(a) + (y - cy) * sin(a)) <= hx AND abs((y - cy) * cos(a) - (x - cx) * sin(a)) <= hy GROUP BY box""")
+def points_in_boxes(spark, sf_dir):
+    """J21, F21."""
+    s = F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "supplier").select(s.alias("box"), ((s % 10) * 5.0).alias("cx"), ((s % 7) * 7.0).alias("cy"), (2.0 + s % 3).alias("half_x"), (1.0 + s % 2).alias("half_y"), (s * 0.37).alias("angle"))
+    return spatial.inside_boxes(_points(spark, sf_dir), boxes, "x", "y", 4.0).groupBy("box").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+
+
+@query("trigger_join", """SELECT p_partkey, t.word FROM part JOIN (VALUES ('BRASS'), ('STEEL'), ('SMALL'), ('ECONOMY'), ('1')) t(word) ON contains(p_type, word) OR contains(p_name, word)""")
+def trigger_join(spark, sf_dir):
+    """A fixed list of words, expanded inside the row."""
+    words = F.array(*[F.lit(w) for w in ("BRASS", "STEEL", "SMALL", "ECONOMY", "1")])
+    fits = F.filter(words, lambda w: F.contains("p_type", w) | F.contains("p_name", w))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(fits).alias("word"))
+
+
+@query("route_screening", """SELECT a.n_nationkey AS origin, b.n_nationkey AS destination FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
+def route_screening(spark, sf_dir):
+    """Ordered pairs inside a region; an error, not a cut, beyond the limit."""
+    n = table(spark, sf_dir, "nation")
+    sizes = n.groupBy("n_regionkey").agg(F.count("*").alias("m"))
+    checked = n.join(sizes, "n_regionkey").select("n_regionkey", "n_nationkey", F.assert_true(F.col("m") * (F.col("m") - 1) <= 5000).alias("ok"))
+    other = n.select("n_regionkey", F.col("n_nationkey").alias("destination"))
+    return checked.join(other, "n_regionkey").filter("n_nationkey <> destination and ok is null").select(F.col("n_nationkey").alias("origin"), "destination")
+
+
+@query("voxel_first", """WITH v AS (SELECT vec_id, floor(embedding[1]::DOUBLE / 0.1) AS a, floor(embedding[2]::DOUBLE / 0.1) AS b, floor(embedding[3]::DOUBLE / 0.1) AS c FROM embeddings) SELECT min(vec_id) AS vec_id FROM v GROUP BY a, b, c""")
+def voxel_first(spark, sf_dir):
+    """G27."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    return spatial.voxels(e, ["x", "y", "z"], 0.1, "vec_id").select("vec_id")
+
+
+@query("nearest_fill", """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, vec_id % 3 = 0 AS seen FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, (abs(a.x - b.x), b.vec_id)) AS source FROM e a JOIN e b
+    ON a.label = b.label AND NOT a.seen AND b.seen AND abs(a.x - b.x) <= 0.05 GROUP BY a.vec_id""")
+def nearest_fill(spark, sf_dir):
+    """The nearest observed value within reach."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
+    near = spatial.within(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 3 = 0"), "vec_id", ["x"], 0.05, group="label")
+    return near.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m")).select("vec_id", F.col("m.other").alias("source"))
+
+
+@query("image_overlap", """SELECT a.p_partkey, round(i / (aa + ab - i), 6) AS iou FROM (SELECT *, greatest(0, least(p_size + 10.0, 30) - greatest(p_size, 15.0)) * greatest(0, least(p_partkey % 20 + 8.0, 16) - greatest(p_partkey % 20, 6.0)) AS i, 80.0 AS aa, 150.0 AS ab FROM part) a WHERE i > 0""")
+def image_overlap(spark, sf_dir):
+    """Intersection over union of image boxes."""
+    size, y = F.col("p_size").cast("double"), (F.col("p_partkey") % 20).cast("double")
+    iou = spatial.box_iou([size, y, size + 10, y + 8], [F.lit(15.0), F.lit(6.0), F.lit(30.0), F.lit(16.0)])
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(iou, 6).alias("iou")).filter("iou > 0")
+
+
+ROOM = (6.0, 8.0, 0.1)
+
+
+def _rooms(spark, sf_dir):
+    """Furniture of synthetic rooms: one room a supplier, boxes from the parts that it ships."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        (k % 40).alias("room"), k.alias("piece"), (0.3 + (k * 37 % 540) / 100.0).alias("cx"), (0.3 + (k * 53 % 740) / 100.0).alias("cy"),
+        (0.1 + size % 7 * 0.05).alias("half_x"), (0.1 + size % 5 * 0.05).alias("half_y"), (k % 8 * 0.3).alias("angle"),
+    )
+
+
+def _boxes(pdf):
+    return pdf.sort_values("piece")[["cx", "cy", "half_x", "half_y", "angle"]].to_numpy(float)
+
+
+@query("room_routes")
+def room_routes(spark, sf_dir):
+    """Raster, clearance, the widest route from corner to corner, and what blocks it."""
+
+    def kernel(pdf):
+        width, depth, cell = ROOM
+        owner = K.rasterise(width, depth, _boxes(pdf), cell)
+        room = K.clearance(owner < 0, cell)
+        stops = [(0, 0), (owner.shape[0] - 1, owner.shape[1] - 1)]
+        least, path = K.widest_path(room, *stops, free_of=K.exempt(room.shape, stops, cell))
+        pieces = pdf.sort_values("piece")["piece"].tolist()
+        return {"width_inches": round(2 * least / 0.0254, 6) if np.isfinite(least) else None, "steps": len(path), "blockers": [pieces[i] for i in K.blockers(owner, room, path)]}
+
+    return K.per_room(_rooms(spark, sf_dir), "room", kernel, "width_inches double, steps int, blockers array<long>")
+
+
+@query("room_spaces")
+def room_spaces(spark, sf_dir):
+    """Reachable regions, the largest square, hull and overlap of pieces, what is seen."""
+
+    def kernel(pdf):
+        width, depth, cell = ROOM
+        boxes = _boxes(pdf)
+        free = K.rasterise(width, depth, boxes, cell) < 0
+        polygons = [K.corners(*b) for b in boxes]
+        walls = np.array([[0, 0, width, 0], [width, 0, width, depth], [width, depth, 0, depth], [0, depth, 0, 0]], float)
+        edges = np.concatenate([walls, *[np.hstack([p, np.roll(p, -1, axis=0)]) for p in polygons]])
+        gaps = [K.polygon_gap(a, b) for i, a in enumerate(polygons) for b in polygons[:i]]
+        return {
+            "regions": int(K.labels(free).max()), "square": round(K.largest_square(free, cell), 6), "hull_area": round(K.area(K.hull(np.concatenate(polygons))), 6),
+            "least_gap": round(min(gaps), 6) if gaps else None, "seen": round(K.isovist(np.array([width / 2, depth / 2]), edges), 6),
+        }
+
+    return K.per_room(_rooms(spark, sf_dir), "room", kernel, "regions int, square double, hull_area double, least_gap double, seen double")
