@@ -1 +1,29 @@
-"""Queries."""
+"""Queries of sources and sinks that need no files but the tables."""
+
+from pyspark.sql import functions as F
+
+from plumbline.registry import query
+from plumbline.sources import io
+from plumbline.tables import table
+
+
+@query("latest_export", """SELECT o_custkey, o_orderstatus, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders JOIN (SELECT o_custkey AS c, max(o_orderdate) AS m FROM orders GROUP BY 1) ON c = o_custkey AND m = o_orderdate) GROUP BY ALL""")
+def latest_export(spark, sf_dir):
+    """S06."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_orderkey")
+    return io.latest_export(orders, "o_custkey", "o_orderdate", "o_orderstatus").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("covered_surfaces", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_discount * 10 >= 0.70 - 1e-9 AND l_linenumber >= 2""")
+def covered_surfaces(spark, sf_dir):
+    """Observed share and viewpoints reach their floors."""
+    return table(spark, sf_dir, "lineitem").filter((F.col("l_discount") * 10 >= 0.70 - 1e-9) & (F.col("l_linenumber") >= 2)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("room_documents", "SELECT n_nationkey, n_name AS category, 'low' AS confidence, n_regionkey * 1.5::DOUBLE AS x FROM nation")
+def room_documents(spark, sf_dir):
+    """Nations written to JSON text and read back, with what is missing filled in."""
+    item = F.to_json(F.struct(F.col("n_name").alias("category"), F.struct((F.col("n_regionkey") * 1.5).alias("x")).alias("dimensions")))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", item.alias("item"))
+    text = lambda path: F.get_json_object("item", f"$.{path}")
+    return n.select("n_nationkey", text("category").alias("category"), F.coalesce(text("confidence"), F.lit("low")).alias("confidence"), text("dimensions.x").cast("double").alias("x"))

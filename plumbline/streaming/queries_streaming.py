@@ -1 +1,49 @@
-"""Queries."""
+"""Queries of the streaming operators, over a batch of events."""
+
+from pyspark.sql import functions as F
+
+from plumbline.registry import query
+from plumbline.streaming import jobs
+from plumbline.tables import table
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("settled_bursts", """SELECT user_id, count(*) AS n, epoch_us(min(ts)) // 1000000 AS first, epoch_us(max(ts)) // 1000000 AS last FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *,
+    CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g""")
+def settled_bursts(spark, sf_dir):
+    """T07."""
+    return jobs.settled(_events(spark, sf_dir), "user_id", "ts", "6 hours").select("user_id", "n", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+@query("hourly_counts", """SELECT event_type, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*) AS n FROM events GROUP BY ALL""")
+def hourly_counts(spark, sf_dir):
+    """T16 in idiomatic form: tumbling windows."""
+    return jobs.windowed_counts(_events(spark, sf_dir), ["event_type"], "ts", "1 hour").withColumn("start", F.unix_seconds("start"))
+
+
+@query("trailing_limit", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def trailing_limit(spark, sf_dir):
+    """Events in the trailing day."""
+    return jobs.trailing_counts(_events(spark, sf_dir), "user_id", "ts", 86400.0, 3).select("event_id", "in_window")
+
+
+@query("admitted_events")
+def admitted_events(spark, sf_dir):
+    """Refused events don't count against the limit."""
+    return jobs.admitted(_events(spark, sf_dir).select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", 86400.0, 3)
+
+
+@query("sampled_frames")
+def sampled_frames(spark, sf_dir):
+    """T10, T11."""
+    return jobs.sampled(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", "event_id", "ts", "value", 3600.0, 86400.0, 100.0)
+
+
+@query("evidence_versions", """SELECT user_id, version, event_id, items FROM (SELECT user_id, event_id, row_number() OVER w AS version, list_sort(list_distinct(list(event_type) OVER (w ROWS UNBOUNDED PRECEDING))).array_to_string(',') AS items
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id, event_type))""")
+def evidence_versions(spark, sf_dir):
+    """Late evidence makes a new version."""
+    return jobs.versions(_events(spark, sf_dir), "user_id", "event_id", "event_type").select("user_id", "version", "event_id", "items")
