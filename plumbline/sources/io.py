@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_ANY = T.StringType()
 #: Kinds of a room document's arrays: fixed values.
 ROOM_ARRAYS = {"walls": "wall", "doors": "door", "windows": "window", "openings": "opening", "floors": "floor", "objects": "object"}
 MESH = "array<struct<id: string, transform: array<double>, vertices: array<double>, triangles: array<int>>>"
@@ -20,13 +18,12 @@ def read_rooms(spark: SparkSession, path: str) -> DataFrame:
     when it is read.
     """
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
-    items = F.concat(*[
-        F.transform(
-            F.coalesce(F.from_json(F.get_json_object("doc", f"$.{name}"), "array<string>"), F.array().cast("array<string>")),
-            lambda x, i, kind=kind: F.struct(F.lit(kind).alias("kind"), i.alias("index"), x.alias("item")),
-        )
-        for name, kind in ROOM_ARRAYS.items()
-    ])
+
+    def of_kind(name: str, kind: str) -> Column:
+        array = F.coalesce(F.from_json(F.get_json_object("doc", f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+        return F.transform(array, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("index"), x.alias("item")))
+
+    items = F.concat(*[of_kind(name, kind) for name, kind in ROOM_ARRAYS.items()])
     checked = docs.withColumn("items", items).withColumn("items", F.when(F.size("items") > 0, F.col("items")).otherwise(F.raise_error(F.lit("a room without elements"))))
     rows = checked.select("path", F.explode("items").alias("e")).select("path", "e.*")
     text = lambda name: F.get_json_object("item", f"$.{name}")
