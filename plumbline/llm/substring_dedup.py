@@ -192,6 +192,9 @@ def _windows(suspects: DataFrame) -> DataFrame:
                         h1=_signed(_ranges(h, s, s + WINDOW, 0)), h2=_signed(_ranges(h, s, s + WINDOW, 1))
                     )
                 )
+                if len(out) == 256:
+                    yield pd.concat(out)
+                    out = []
             if out:
                 yield pd.concat(out)
 

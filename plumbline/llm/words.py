@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A process keeps the hashes of so many words.
-KEPT = 500_000
+KEPT = 150_000
 
 #: Odd multipliers that set the places of a sequence apart.
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(64)], np.uint64)
