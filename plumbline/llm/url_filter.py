@@ -46,7 +46,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def _suffixes(host: str) -> str:
     """SQL for the host itself and every parent domain."""
-    return f"transform(sequence(1, size(split({host}, '[.]'))), i -> substring_index({host}, '.', i))"
+    return f"transform(sequence(1, size(split({host}, '[.]'))), i -> substring_index({host}, '.', -i))"
 
 
 def fixed_rule(rules: list[tuple[str, str, str]]) -> Column:
