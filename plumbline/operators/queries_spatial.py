@@ -156,3 +156,29 @@ def room_spaces(spark, sf_dir):
         }
 
     return K.per_room(_rooms(spark, sf_dir), "room", kernel, "regions int, square double, hull_area double, least_gap double, seen double")
+
+
+@query("layout_search")
+def layout_search(spark, sf_dir):
+    """The first move at the pinch that widens a room's route."""
+    from plumbline.plans import search
+
+    rooms = _rooms(spark, sf_dir).withColumn("movable", F.col("piece") % 3 != 0)
+    kernel = lambda pdf: search.widen(pdf, ROOM[:2], 0.2, [(0.1, 0.1), (5.9, 7.9)], limit=16)
+    return K.per_room(rooms, "room", kernel, "before double, after double, piece long, dx double, dy double")
+
+
+@query("free_places")
+def free_places(spark, sf_dir):
+    """Room along the walls, before the first piece, and for a turn beside it."""
+    from plumbline.plans import search
+
+    def kernel(pdf):
+        boxes = _boxes(pdf)
+        spot = search.place_along_walls(boxes, (1.0, 0.6), ROOM[:2])
+        return {
+            "x": spot and spot[0], "y": spot and spot[1], "approach": search.approach(boxes, 0, ROOM[:2]),
+            "turn": round(search.widest_circle(boxes[:12], tuple(boxes[0, :2]), ROOM[:2], 1.0, 0.25), 6),
+        }
+
+    return K.per_room(_rooms(spark, sf_dir), "room", kernel, "x double, y double, approach double, turn double")
