@@ -206,3 +206,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = W
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, min(c) = r.vec_id AS kept
+FROM r LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) AS k ON k.vec_id = r.vec_id GROUP BY r.vec_id
+"""

@@ -21,4 +21,10 @@ QUERIES = {
     "op8_embedding_near_dedup": lambda spark, sf_dir: embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")),
     "op10_minhash_near_dedup": lambda spark, sf_dir: minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")),
 }
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op5_benchmark_decontamination": decontamination.ORACLE}
+ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_benchmark_decontamination": decontamination.ORACLE,
+    "op8_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op10_minhash_near_dedup": minhash_dedup.ORACLE,
+}

@@ -255,3 +255,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha_kept", "sha")).alias("kept_sha256"),
     )
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS owner FROM v GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM v JOIN f USING (h) WHERE owner < doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w),
+m AS (SELECT t.doc_id, t.x, t.k, g.k IS NOT NULL AS gone FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.k = t.k),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+"""

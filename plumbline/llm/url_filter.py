@@ -136,6 +136,3 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     )
     keyed = read.withColumns({"u1": F.xxhash64("url"), "u2": F.xxhash64("url", F.lit("url"))})
     return keyed.join(blocked, ["u1", "u2"], "left").select(*result, F.coalesce("fixed.verdict", "mined", F.lit(default)).alias("verdict"))
-
-
-ORACLE = None
