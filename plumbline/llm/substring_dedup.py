@@ -228,7 +228,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     taken = cut(taken.withColumn("gone", F.coalesce("gone", F.lit(False))))
     runs = taken.filter("not gone").groupBy("doc_id", "f1").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    single = cut(_windows(suspects.join(runs, ["doc_id", "f1"])))
+    # Not written: it is the largest table here, and both of its readers share the shuffle below it.
+    single = _windows(suspects.join(runs, ["doc_id", "f1"]))
     late = single.join(_earliest(single), ["h1", "h2"]).filter("owner < doc_id").select("doc_id", "f1", "first", F.col("first").alias("last"))
     gone = taken.filter("gone").select("doc_id", "f1", "first", "last").union(late)
     spans = gone.groupBy("doc_id", "f1").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
