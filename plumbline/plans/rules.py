@@ -48,29 +48,30 @@ def evaluate(elements: DataFrame, rules: list[Rule], uncertainty: float = 0.0, m
     outcome: passes, problem, or question (no measure, or the uncertainty in inches straddles the limit). Rules
     without verification give one question row without an element.
     """
-    spark = elements.sparkSession
-    rows = []
-    for r in rules:
-        if r.tier > max_tier:
+    enabled = [r for r in rules if r.tier <= max_tier]
+    held = [r.rule_id for r in enabled if not r.verified or r.threshold is None]
+    entries = []
+    for r in enabled:
+        if r.rule_id in held:
             continue
-        if not r.verified or r.threshold is None:
-            held = spark.range(1).select(F.lit(r.rule_id).alias("rule_id"), F.lit(None).cast("long").alias("id"), F.lit("question").alias("outcome"), *[F.lit(None).cast("double").alias(c) for c in ("measured_inches", "required_inches", "shortfall")])
-            rows.append(held)
-            continue
-        some = elements.filter(X.name_has_words(F.col("label"), r.words))
+        applies = X.name_has_words(F.col("label"), r.words)
         if r.when:
-            some = some.filter(X.meets(F.col(r.when[0]), r.when[1], F.lit(r.when[2])))
+            applies &= X.meets(F.col(r.when[0]), r.when[1], F.lit(r.when[2]))
         limit = X.inches(X.in_metres(F.lit(r.threshold), F.lit(r.unit)))
         measured = X.inches(F.col(r.measure))
         head = "min" if r.comparison == "at_least" else "max"
         verdict = X.interval_verdict(measured - uncertainty, measured + uncertainty, limit, head, eps=X.AT_LIMIT)
         outcome = F.when(verdict == "satisfied", "passes").when(verdict == "violation", "problem").otherwise("question")
         short = F.greatest(F.lit(0.0), limit - measured if head == "min" else measured - limit)
-        rows.append(some.select(F.lit(r.rule_id).alias("rule_id"), F.col("id").cast("long").alias("id"), outcome.alias("outcome"), measured.alias("measured_inches"), limit.alias("required_inches"), short.alias("shortfall")))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+        one = F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.col("id").cast("long").alias("id"), outcome.alias("outcome"), measured.alias("measured_inches"),
+            limit.alias("required_inches"), short.alias("shortfall"),
+        )
+        entries.append(F.when(applies, one))
+    # All rules in one pass over the elements.
+    judged = elements.select(F.explode(F.array_compact(F.array(*entries))).alias("r")).select("r.*")
+    rows = [(rule, None, "question", None, None, None) for rule in held]
+    return judged.union(elements.sparkSession.createDataFrame(rows, "rule_id string, id long, outcome string, measured_inches double, required_inches double, shortfall double"))
 
 
 def reduced_width(runs: DataFrame, keys: list[str], limit: float = 32.0, longest: float = 24.0, apart: float = 48.0) -> DataFrame:
