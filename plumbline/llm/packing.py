@@ -3,7 +3,8 @@
 Documents are tokenised where they lie; what is shuffled afterwards are piece lengths alone. Pieces are dealt
 into groups that each give one task a bounded number of pieces, and each group is packed by bounded-space
 best-fit: a fixed number of open bins in a bitset keyed by free space; where a piece fits in none, a bin opens,
-and the fullest open bin closes first. Within a group the longest pieces come first.
+and the fullest open bin closes first. A group's pieces come in seeded random order, in blocks of as many pieces
+as bins may be open, longest first within a block: so long pieces meet short ones before their bins close.
 
 Defined results: null text is empty; an empty text still has its end id and so one piece of length 1. Rows that
 repeat a doc_id are packed each on its own. Extra columns are left out.
@@ -142,6 +143,13 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
     return bins, offsets
 
 
+def _order(rows: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
+    """Rows in seeded random order, then longest first within each block of `block` rows."""
+    rows = rows.sort_values(["doc_id", "piece", "length", "ids_crc32"])
+    rows = rows.iloc[np.random.default_rng(seed).permutation(len(rows))]
+    return rows.iloc[np.lexsort((-rows["length"].to_numpy(), np.arange(len(rows)) // block))]
+
+
 def pack(made: DataFrame, length: int = 1024, open_bins: int = 512, group: int = 50_000) -> DataFrame:
     """`made` with sequence_id and offset. Full pieces are sequences of their own and never travel.
 
@@ -153,7 +161,7 @@ def pack(made: DataFrame, length: int = 1024, open_bins: int = 512, group: int =
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = _order(rows, open_bins, int(key[0]))
         bins, offsets = best_fit(rows["length"].tolist(), length, open_bins)
         # Even numbers for packed sequences, odd ones for full pieces.
         rows["sequence_id"] = ((np.int64(key[0]) << 36) + np.array(bins, np.int64)) * 2

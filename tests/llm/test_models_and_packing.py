@@ -131,6 +131,22 @@ def test_best_fit_closes_the_fullest():
     assert packing.best_fit([10, 10], 10, 1) == ([0, 1], [0, 0])
 
 
+def test_packing_of_many_pieces_is_near_the_bound(spark):
+    r = random.Random(8)
+    lengths = [r.randrange(1, 1024) for _ in range(6000)]
+    made = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(made).collect()
+    assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(lengths))
+    spans = {}
+    for x in rows:
+        spans.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for some in spans.values():
+        some.sort()
+        assert some[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(some, some[1:], strict=False)) and sum(some[-1]) <= 1024
+    assert len(spans) <= 1.02 * sum(lengths) / 1024
+    assert {(x.doc_id, x.sequence_id, x.offset) for x in packing.pack(made.repartition(7)).collect()} == {(x.doc_id, x.sequence_id, x.offset) for x in rows}
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/x", "https://WWW.example.com/en/", "https://x.www.example.com/en/1?q=/es/", "http://net/fr/", "http://b.net/de/", "http://b.net/es", "http://notexample.com/en/a", "no scheme.com/en/", None, "http://b.com", "ftp://c.net/fr/a#/", "x://com/?u=http://net/fr/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
