@@ -1,10 +1,11 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by passes of random hyperplanes.
 
-Each pass orders all vectors lexicographically by 64 concatenated random hyperplane bits, range-partitions and
-sorts them in that order, and slides a window of bounded width over each partition; pairs in a window are
-verified by cosine in double precision, and verified pairs are united across passes. The number of passes
-follows from the number of vectors, so that a pair at the threshold is missed with a chance of about
-`miss` at any size. A partition's ends are seen by no window; other passes have other ends.
+Each pass puts vectors of equal random hyperplane bits into one bucket, and compares all pairs of a bucket by cosine
+in double precision; large buckets are compared in tiles. Verified pairs are united across passes. A pair at the
+threshold shares a bit with a chance that depends on its angle alone, so with the number of passes that follows from
+the number of bits it is missed with a chance of about `miss`, however the other vectors lie. The number of bits
+follows from the number of vectors, so that buckets of evenly spread vectors hold about `window` of them; those of
+crowded vectors hold more, and work there grows with their square. Copies of a vector enter once.
 
 Links are then counted exactly inside each component. Vectors within half the threshold's angle of the
 component's mean direction are linked with each other for certain, by the triangle inequality, and are only
@@ -30,14 +31,20 @@ from plumbline.llm.common import components, cut, parts
 
 WINDOW = 64
 TILE = 1024
-_BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+#: Large buckets up to which their sizes are broadcast.
+MOST_LARGE = 100_000
+
+
+def bits_for(n: int, window: int) -> int:
+    """Bits after which evenly spread vectors leave about `window` in a bucket."""
+    return min(63, max(0, math.ceil(math.log2(max(1, n) / window))))
 
 
 def passes_for(n: int, threshold: float, window: int, miss: float) -> int:
     """Passes until a pair at the threshold is missed with a chance of `miss`."""
     agree = 1 - math.acos(threshold) / math.pi
-    near = agree ** max(1.0, math.log2(max(2, n) / window))
-    return max(4, math.ceil(math.log(miss) / math.log(1 - min(near, 0.999))))
+    near = agree ** bits_for(n, window)
+    return max(1, math.ceil(math.log(miss) / math.log(1 - min(near, 0.999))))
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -46,54 +53,66 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _window_links(vectors: DataFrame, passes: int, threshold: float, window: int) -> DataFrame:
-    """Links (a, b) that unite what the windows of all passes verify."""
+def _bucket_links(vectors: DataFrame, bits: int, passes: int, threshold: float) -> DataFrame:
+    """Links (a, b) that unite what all passes verify."""
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, same in batch.groupby(batch["embedding"].map(len)):
-                x = _unit(same["embedding"])
-                for p in range(passes):
-                    planes = np.random.default_rng([p, dim]).standard_normal((dim, 64))
-                    key = ((x @ planes > 0) @ _BITS).astype(np.uint64)
-                    yield pd.DataFrame({"run": p * 65_536 + dim, "key": key.astype(np.int64), "vec_id": same["vec_id"], "embedding": same["embedding"]})
-
-    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+    def keyed(with_vectors: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, same in batch.groupby(batch["embedding"].map(len)):
+                    x = _unit(same["embedding"])
+                    for p in range(passes):
+                        planes = np.random.default_rng([p, dim]).standard_normal((dim, bits))
+                        bucket = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                        made = {"run": p * 65_536 + dim, "bucket": bucket.astype(np.int64)}
+                        yield pd.DataFrame(made | {c: same[c] for c in ("vec_id", "embedding")} if with_vectors else made)
+
+        return vectors.mapInPandas(run, "run int, bucket long" + ", vec_id long, embedding array<float>" * with_vectors)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            for run, rows in batch.groupby("run", sort=True):
-                x, ids = _unit(rows["embedding"]), rows["vec_id"].to_numpy(np.int64)
-                if last and last[0] == run:
-                    x, ids = np.concatenate([last[1], x]), np.concatenate([last[2], ids])
-                pairs = []
-                for d in range(1, min(window, len(ids) - 1) + 1):
-                    at = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold)
-                    pairs.append(np.stack([ids[at], ids[at + d]], axis=1))
-                last = (run, x[-window:], ids[-window:])
-                yield pd.DataFrame(_forest(np.concatenate(pairs)) if pairs else [], columns=["a", "b"], dtype="int64")
-
-    n = max(parts(vectors.sparkSession), passes)
-    made = vectors.mapInPandas(keyed, "run int, key long, vec_id long, embedding array<float>")
-    in_order = made.repartitionByRange(n, "run", "key", "vec_id").sortWithinPartitions("run", "key", "vec_id")
-    return in_order.mapInPandas(slide, "a long, b long").distinct()
-
-
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Those pairs that join what earlier ones leave apart."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    out = []
-    for a, b in np.unique(np.sort(pairs, axis=1), axis=0).tolist():
-        ra, rb = top(a), top(b)
-        if ra != rb:
-            up[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            places = rows[["run", "bucket", "t1", "t2"]].to_numpy(np.int64)
+            starts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist()]
+            rest = rows.iloc[starts[-1] :]
+            yield pd.DataFrame(
+                [link for s, e in zip(starts, starts[1:], strict=False) for link in _joined(rows.iloc[s:e], threshold)], columns=["a", "b"], dtype="int64"
+            )
+        if rest is not None:
+            yield pd.DataFrame(_joined(rest, threshold), columns=["a", "b"], dtype="int64")
+
+    large = cut(keyed(False).groupBy("run", "bucket").count().filter(F.col("count") > TILE))
+    sizes = large if large.count() > MOST_LARGE else F.broadcast(large)
+    # A tile meets every tile of its bucket.
+    spread = (
+        keyed(True).join(sizes, ["run", "bucket"], "left")
+        .withColumn("tiles", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+        .withColumn("far", F.explode(F.expr("sequence(0, tiles - 1)")))
+        .select("run", "bucket", F.least("own", "far").alias("t1"), F.greatest("own", "far").alias("t2"), "vec_id", "embedding")
+    )
+    place = ["run", "bucket", "t1", "t2"]
+    dealt = spread.repartition(max(parts(vectors.sparkSession), passes), *place).sortWithinPartitions(*place, "vec_id")
+    return dealt.mapInPandas(meet, "a long, b long").distinct()
+
+
+def _joined(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Links that unite the rows within the threshold of each other: from the first row of each group to the others."""
+    if len(rows) < 2:
+        return []
+    x, ids = _unit(rows["embedding"]), rows["vec_id"].to_numpy(np.int64)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    left, out = near.any(axis=1), []
+    while left.any():
+        first = int(left.argmax())
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            out += [(min(ids[first], i), max(ids[first], i)) for i in ids[front].tolist() if i != ids[first]]
     return out
 
 
@@ -195,8 +214,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = W
     distinct = cut(
         rows.filter(sound).groupBy("vec_id", "fp").agg(F.first("embedding").alias("embedding"))
     )
-    passes = passes_for(distinct.count(), threshold, window, miss)
-    links = cut(_window_links(distinct.select("vec_id", "embedding"), passes, threshold, window))
+    shared = cut(distinct.groupBy("fp", "embedding").agg(F.min("vec_id").alias("first")))
+    n = shared.count()
+    found = _bucket_links(shared.select(F.col("first").alias("vec_id"), "embedding"), bits_for(n, window), passes_for(n, threshold, window, miss), threshold)
+    copies = distinct.join(shared, ["fp", "embedding"]).filter("first <> vec_id").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
+    links = cut(found.union(copies))
     named = cut(components(links).select(F.col("node").alias("vec_id"), "component_id"))
     members = distinct.join(named, "vec_id").withColumn("dim", F.size("embedding"))
     counted = _counted(cut(members), threshold)

@@ -162,3 +162,20 @@ def test_contamination(spark, prose):
     assert got[0, 1] == 1.0 and got[1, 1] == pytest.approx(23 / 26)
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_embedding_pairs_in_a_dense_group_below_the_threshold(spark):
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, dim = 3000, 64
+    cone = unit(unit(r.standard_normal(dim)) + 0.42 * unit(r.standard_normal((n, dim))))
+    away = r.standard_normal((60, dim))
+    away = unit(away - (away * cone[:60]).sum(1, keepdims=True) * cone[:60])
+    x = np.concatenate([cone, 0.952 * cone[:60] + np.sqrt(1 - 0.952**2) * away]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    u = unit(x.astype(np.float64))
+    near = u @ u.T >= 0.95
+    assert 60 <= (near.sum() - len(x)) // 2 < 200
+    got = {v.vec_id: v for v in embedding_dedup.near_duplicates(vectors).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert all(got[n + i].component_id == got[i].component_id and not got[n + i].kept for i in range(60))
