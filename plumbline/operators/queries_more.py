@@ -123,7 +123,7 @@ def door_clearances(spark, sf_dir):
 
 @query("banded_heights", """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'question' WHEN p_size BETWEEN 17 - 1e-6 AND 34 + 1e-6 THEN 'passes' ELSE 'problem' END AS outcome FROM part""")
 def banded_heights(spark, sf_dir):
-    """A value between two limits; without a partner to measure from it is a question."""
+    """A value between two limits; without a partner to measure from it is a question."""
     size = F.when(F.col("p_partkey") % 9 != 0, F.col("p_size").cast("double"))
     inside = X.meets(size, "at_least", F.lit(17.0)) & X.meets(size, "at_most", F.lit(34.0))
     return table(spark, sf_dir, "part").select("p_partkey", F.when(size.isNull(), "question").when(inside, "passes").otherwise("problem").alias("outcome"))
@@ -131,7 +131,7 @@ def banded_heights(spark, sf_dir):
 
 @query("ramp_slopes", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE round(p_size * 1.0::DOUBLE / (p_partkey % 5), 4) END AS run_per_rise, CASE WHEN p_partkey % 5 = 0 OR p_size * 1.0 / (p_partkey % 5) >= 12 - 1e-6 THEN 'passes' ELSE 'problem' END AS outcome FROM part""")
 def ramp_slopes(spark, sf_dir):
-    """Run over rise of a ramp; a flat one has none and passes."""
+    """Run over rise of a ramp; a flat one has none and passes."""
     ratio = F.try_divide(F.col("p_size").cast("double"), F.col("p_partkey") % 5)
     return table(spark, sf_dir, "part").select("p_partkey", F.round(ratio, 4).alias("run_per_rise"), F.when(ratio.isNull() | X.meets(ratio, "at_least", F.lit(12.0)), "passes").otherwise("problem").alias("outcome"))
 
@@ -166,7 +166,7 @@ def cross_walk_solids(spark, sf_dir):
 
 @query("seen_floor")
 def seen_floor(spark, sf_dir):
-    """Cells of a floor that points were seen over, and whether they join two corners."""
+    """Cells of a floor that points were seen over, their regions, and a fixed ray's hit of a fixed box."""
 
     def kernel(pdf):
         x = pdf[["x", "y"]].to_numpy(float)

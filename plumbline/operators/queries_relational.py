@@ -403,7 +403,7 @@ def set_intersection(spark, sf_dir):
 @query("set_symmetric_difference", """(SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 EXCEPT SELECT s_nationkey FROM supplier) UNION
     (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)""")
 def set_symmetric_difference(spark, sf_dir):
-    """U04 to U06."""
+    """Keys that are on one side only."""
     a = table(spark, sf_dir, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
     return a.subtract(b).union(b.subtract(a))

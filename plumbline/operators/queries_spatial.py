@@ -160,7 +160,7 @@ def room_spaces(spark, sf_dir):
 
 @query("layout_search")
 def layout_search(spark, sf_dir):
-    """The first move at the pinch that widens a room's route."""
+    """The first move at the pinch that widens a room's route."""
     from plumbline.plans import search
 
     rooms = _rooms(spark, sf_dir).withColumn("movable", F.col("piece") % 3 != 0)
@@ -170,7 +170,7 @@ def layout_search(spark, sf_dir):
 
 @query("free_places")
 def free_places(spark, sf_dir):
-    """Room along the walls, before the first piece, and for a turn beside it."""
+    """Room along the walls, before the first piece, and for a turn beside it."""
     from plumbline.plans import search
 
     def kernel(pdf):

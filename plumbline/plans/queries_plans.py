@@ -100,7 +100,7 @@ def narrow_runs(spark, sf_dir):
 
 @query("compliance_matrix", f"""SELECT w AS label, count(*) AS n FROM (SELECT list_extract({WORDS}, (p_partkey % 9 + 1)::INT) AS w FROM part) GROUP BY w""")
 def compliance_matrix(spark, sf_dir):
-    """Elements of each kind."""
+    """Elements of each kind."""
     return _elements(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
