@@ -178,7 +178,7 @@ def free_places(spark, sf_dir):
         spot = search.place_along_walls(boxes, (1.0, 0.6), ROOM[:2])
         return {
             "x": spot and spot[0], "y": spot and spot[1], "approach": search.approach(boxes, 0, ROOM[:2]),
-            "turn": round(search.widest_circle(boxes[:12], tuple(boxes[0, :2]), ROOM[:2], 1.0, 0.25), 6),
+            "turn": round(search.widest_circle(boxes, tuple(boxes[0, :2]), ROOM[:2], 1.0, 0.25), 6),
         }
 
     return K.per_room(_rooms(spark, sf_dir), "room", kernel, "x double, y double, approach double, turn double")

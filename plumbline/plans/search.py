@@ -102,10 +102,17 @@ def approach(boxes: np.ndarray, which: int, room: tuple[float, float], size: tup
 def widest_circle(boxes: np.ndarray, near: tuple[float, float], room: tuple[float, float], reach: float, step: float = 0.1) -> float:
     """Diameter of the widest clear circle with its centre on a grid within reach of a place."""
     corners = [K.corners(*b) for b in boxes]
+    reaches = np.hypot(boxes[:, 2], boxes[:, 3])
     best = 0.0
     for x in np.arange(max(0, near[0] - reach), min(room[0], near[0] + reach) + 1e-9, step):
         for y in np.arange(max(0, near[1] - reach), min(room[1], near[1] + reach) + 1e-9, step):
             dot = np.array([[x, y], [x + 1e-9, y], [x, y + 1e-9]])
-            clear = min([x, y, room[0] - x, room[1] - y, *[K.polygon_gap(dot, p) for p in corners]])
+            clear = min(x, y, room[0] - x, room[1] - y)
+            # No box is nearer than its centre less its half diagonal, so the rest can't matter once that is too far.
+            least = np.hypot(boxes[:, 0] - x, boxes[:, 1] - y) - reaches
+            for i in np.argsort(least):
+                if least[i] >= clear or 2 * clear <= best:
+                    break
+                clear = min(clear, K.polygon_gap(dot, corners[i]))
             best = max(best, 2 * clear)
     return float(best)
