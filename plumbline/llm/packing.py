@@ -12,7 +12,6 @@ repeat a doc_id are packed each on its own. Extra columns are left out.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,21 +22,21 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, texts
 
-#: A process keeps the ids of so many space-separated chunks; others are encoded anew.
+#: A process remembers the ids of so many words; beyond that it starts afresh.
 CACHED = 600_000
-#: Documents that are split into chunks at once.
-AT_ONCE = 128
+#: Documents, and new words, that are encoded at once.
+AT_ONCE, TOGETHER = 256, 2_000
 _known: dict[str, tuple] = {}
-#: White space next to a space, or other than spaces and line feeds.
-_UNEVEN = re.compile(r"[^\S \n]|  | \n|\n ")
+#: White space of Unicode other than spaces and line feeds.
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
 def _encoder(path: str):
     """A function from a list of texts to their ids as little-endian uint32 bytes.
 
-    The tokenizer cuts texts before each single space that stands between other characters, so chunks between
-    spaces can be encoded alone and remembered. Texts with other runs of white space, or with the text of a
-    special token, are encoded whole.
+    The tokenizer cuts texts before each single space that stands between other characters, so words between
+    spaces can be encoded alone, with their space, and remembered. Texts with other runs of white space, or with the
+    text of a special token, are encoded whole.
     """
     if path not in _known:
         import os
@@ -46,37 +45,52 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        _known[path] = (tokenizer, special, {})
-    tokenizer, special, cache = _known[path]
+        odd = ("  ", " \n", "\n ", *(t.content for t in tokenizer.get_added_tokens_decoder().values()), *_OTHER_SPACE)
+        ascii_odd = tuple(x for x in odd if x.isascii())
+        (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        _known[path] = (tokenizer, line_feed, odd, ascii_odd, {})
+    tokenizer, line_feed, odd, ascii_odd, cache = _known[path]
 
     def ids(some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def plain(text: str) -> bool:
-        return not _UNEVEN.search(text) and not any(s in text for s in special)
+    def of_words(some: list[str]) -> list[bytes]:
+        """Ids of words with a space before each; of many at once, told apart by the line feeds between them."""
+        lines = ["\n".join([f" {w}" for w in some[i : i + TOGETHER]]) for i in range(0, len(some), TOGETHER)]
+        out = []
+        for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            found = np.array(e.ids, "<u4")
+            flat = found.tobytes()
+            ends = [*(4 * np.flatnonzero(found == line_feed)).tolist(), len(flat)]
+            starts = [0, *[x + 4 for x in ends[:-1]]]
+            out += [flat[s:e] for s, e in zip(starts, ends, strict=True)]
+        return out
 
     def encode(some: list[str]) -> list[bytes]:
         out: list = [None] * len(some)
-        chunks: dict[int, list[str]] = {}
+        spaced: dict[int, list[str]] = {}
         whole = []
         for i, text in enumerate(some):
-            if plain(text):
-                # Every chunk but the first has its space; the first of a text that starts with one is empty.
-                first, *rest = text.split(" ")
-                chunks[i] = [first, *[f" {c}" for c in rest]] if first or rest else []
-            else:
+            if any(x in text for x in (ascii_odd if text.isascii() else odd)):
                 whole.append(i)
-        if whole:
-            for i, b in zip(whole, ids([some[i] for i in whole]), strict=True):
-                out[i] = b
-        new = list({c for cs in chunks.values() for c in cs if c not in cache})
-        found = dict(zip(new, ids(new), strict=True)) if new else {}
-        if len(cache) + len(found) <= CACHED:
-            cache.update(found)
-            found = {}
-        for i, cs in chunks.items():
-            out[i] = b"".join([cache[c] if c in cache else found[c] for c in cs] if found else [cache[c] for c in cs])
+            else:
+                spaced[i] = text.split(" ")
+        # The first word of a text has no space before it.
+        alone = iter(ids([some[i] for i in whole] + [w[0] for w in spaced.values()]))
+        for i in whole:
+            out[i] = next(alone)
+        for i, w in spaced.items():
+            out[i] = next(alone)
+            del w[0]
+        if len(cache) > CACHED:
+            cache.clear()
+        new = set().union(*spaced.values()).difference(cache)
+        broken = [w for w in new if "\n" in w or not w]
+        new = list(new.difference(broken))
+        cache.update(zip(new, of_words(new), strict=True))
+        cache.update(zip(broken, ids([f" {w}" for w in broken]), strict=True))
+        for i, w in spaced.items():
+            out[i] += b"".join(map(cache.__getitem__, w))
         return out
 
     return encode
