@@ -17,15 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether Spark deletes a query's shuffle files when it ends.
+_DELETES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut, in the shared folder that the session names.
 
-    Only where the session names none (tests), a temporary folder is set.
+    Its shuffle files are deleted once it is written: nothing reads them again. Only a local session that names no
+    folder (tests) gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
+    before = spark.conf.get(_DELETES, "false")
+    spark.conf.set(_DELETES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_DELETES, before)
 
 
 def parts(spark: SparkSession) -> int:
