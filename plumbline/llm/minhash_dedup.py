@@ -191,7 +191,7 @@ def _tiled(placed: DataFrame, sets: DataFrame, least: float, percent: int) -> Da
     with all of the family, a tile of at most about TILE rows against another in a task.
     """
     many = placed.filter(F.col("n") > FEW)
-    common = many.groupBy("bucket").agg(F.mode("c", True).alias("family"))
+    common = many.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", F.struct("count", "c")).alias("family"))
     members = cut(many.join(common, "bucket").select("family", "rep", "c").distinct().withColumn("inner", F.col("c") == F.col("family")))
     sizes = members.groupBy("family").agg(
         F.ceil(F.count_if("inner") / TILE).cast("int").alias("inner_tiles"), F.ceil(F.count_if(~F.col("inner")) / TILE).cast("int").alias("outer_tiles")
