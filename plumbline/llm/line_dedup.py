@@ -41,7 +41,8 @@ def drop_bitmaps(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Da
         .select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("line")).alias("h2"), "doc_id", "fp", "pos")
     )
     ranged = found.select("h1", "h2", "doc_id").repartitionByRange(n, "h1", "h2", F.desc("doc_id"))
-    common = (
+    # Written, so that the join below reads both sides from plain exchanges and Spark can split a very common line.
+    common = cut(
         ranged.sortWithinPartitions("h1", "h2", F.desc("doc_id"))
         .groupBy("h1", "h2", "doc_id")
         .agg(F.lit(1).alias("one"))
