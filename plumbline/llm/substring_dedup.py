@@ -202,8 +202,11 @@ def _windows(suspects: DataFrame) -> DataFrame:
 
 
 def _earliest(rows: DataFrame) -> DataFrame:
-    """h1, h2 and the smallest doc_id, of what stands in more documents than one."""
-    return (
+    """h1, h2 and the smallest doc_id, of what stands in more documents than one.
+
+    Written, so that a join with it reads both sides from plain exchanges and Spark can split a very common passage.
+    """
+    return cut(
         rows.groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
         .filter("owner < other")
@@ -217,7 +220,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     first = base.filter("doc_id is not null and n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("owner"))
     named = cut(base.join(first, ["f1", "f2", "n_words"], "left"))
     own = named.filter("doc_id = owner and size(keys) > 0").select("doc_id", "f1", F.explode("keys").alias("key"))
-    shared = own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
+    shared = cut(own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key"))
     keys = own.join(shared, "key").groupBy("doc_id", "f1").agg(F.collect_list("key").alias("shared"))
     suspects = cut(
         texts(docs).withColumn("f1", F.xxhash64("text")).join(keys.hint("shuffle_hash"), ["doc_id", "f1"]).dropDuplicates(["doc_id", "f1"])
@@ -228,7 +231,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     taken = cut(taken.withColumn("gone", F.coalesce("gone", F.lit(False))))
     runs = taken.filter("not gone").groupBy("doc_id", "f1").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    # Not written: it is the largest table here, and both of its readers share the shuffle below it.
+    # Not written: it is the largest table here; owners of windows are written, so that windows can be split.
     single = _windows(suspects.join(runs, ["doc_id", "f1"]))
     late = single.join(_earliest(single), ["h1", "h2"]).filter("owner < doc_id").select("doc_id", "f1", "first", F.col("first").alias("last"))
     gone = taken.filter("gone").select("doc_id", "f1", "first", "last").union(late)
