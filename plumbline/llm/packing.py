@@ -27,6 +27,8 @@ CACHED = 600_000
 #: Documents, and new words, that are encoded at once.
 AT_ONCE, TOGETHER = 256, 2_000
 _known: dict[str, tuple] = {}
+#: Marks that words may end with.
+_MARKS = ".,;:!?|*#$%&()[]{}<>=+-_/~^\""
 #: White space of Unicode other than spaces and line feeds.
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
@@ -34,9 +36,10 @@ _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not
 def _encoder(path: str):
     """A function from a list of texts to their ids as little-endian uint32 bytes.
 
-    The tokenizer cuts texts before each single space that stands between other characters, so words between
-    spaces can be encoded alone, with their space, and remembered. Texts with other runs of white space, or with the
-    text of a special token, are encoded whole.
+    The tokenizer cuts texts before a single space or line feed that stands between other characters, after a line
+    feed, and between a letter or digit and marks after it. So words can be encoded alone, those after a space with
+    it, marks at their ends apart, and remembered. Texts with other runs of white space, or with the text of a special
+    token, are encoded whole.
     """
     if path not in _known:
         import os
@@ -45,20 +48,19 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        odd = ("  ", " \n", "\n ", *(t.content for t in tokenizer.get_added_tokens_decoder().values()), *_OTHER_SPACE)
-        ascii_odd = tuple(x for x in odd if x.isascii())
-        (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
-        _known[path] = (tokenizer, line_feed, odd, ascii_odd, {})
-    tokenizer, line_feed, odd, ascii_odd, cache = _known[path]
+        odd = ("  ", " \n", "\n ", "\n\n\n", *(t.content for t in tokenizer.get_added_tokens_decoder().values()), *_OTHER_SPACE)
+        _known[path] = (tokenizer, odd, tuple(x for x in odd if x.isascii()), {})
+    tokenizer, odd, ascii_odd, cache = _known[path]
+    (line_feed,) = tokenizer.encode("\n", add_special_tokens=False).ids
+    feed = np.array([line_feed], "<u4").tobytes()
 
     def ids(some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def of_words(some: list[str]) -> list[bytes]:
-        """Ids of words with a space before each; of many at once, told apart by the line feeds between them."""
-        lines = ["\n".join([f" {w}" for w in some[i : i + TOGETHER]]) for i in range(0, len(some), TOGETHER)]
+    def of_lines(some: list[str]) -> list[bytes]:
+        """Ids of lines that aren't empty; of many at once, told apart by the line feeds between them."""
         out = []
-        for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+        for e in tokenizer.encode_batch_fast(["\n".join(some[i : i + TOGETHER]) for i in range(0, len(some), TOGETHER)], add_special_tokens=False):
             found = np.array(e.ids, "<u4")
             flat = found.tobytes()
             ends = [*(4 * np.flatnonzero(found == line_feed)).tolist(), len(flat)]
@@ -66,15 +68,30 @@ def _encoder(path: str):
             out += [flat[s:e] for s, e in zip(starts, ends, strict=True)]
         return out
 
+    def learn(keys: set[str]) -> None:
+        """Puts keys into the cache: a line feed and the word after it, or a word after a space."""
+        parts = []
+        for key in keys:
+            body = key.rstrip(_MARKS)
+            parts.append((key, body, key[len(body) :]) if body != key and body[-1:].isalnum() else (key, key, ""))
+        new = list({body for _, body, _ in parts}.difference(cache))
+        cache.update(zip(new, of_lines([k[1:] if k[0] == "\n" else f" {k}" for k in new]), strict=True))
+        for k in new:
+            if k[0] == "\n":
+                cache[k] = feed + cache[k]
+        tails = list({tail for _, _, tail in parts if tail})
+        marks = dict(zip(tails, ids(tails), strict=True))
+        cache.update((key, cache[body] + marks[tail]) for key, body, tail in parts if tail)
+
     def encode(some: list[str]) -> list[bytes]:
         out: list = [None] * len(some)
         spaced: dict[int, list[str]] = {}
         whole = []
         for i, text in enumerate(some):
-            if any(x in text for x in (ascii_odd if text.isascii() else odd)):
+            if text.endswith("\n\n") or any(x in text for x in (ascii_odd if text.isascii() else odd)):
                 whole.append(i)
             else:
-                spaced[i] = text.split(" ")
+                spaced[i] = text.replace("\n", " \n").split(" ")
         # The first word of a text has no space before it.
         alone = iter(ids([some[i] for i in whole] + [w[0] for w in spaced.values()]))
         for i in whole:
@@ -82,13 +99,10 @@ def _encoder(path: str):
         for i, w in spaced.items():
             out[i] = next(alone)
             del w[0]
-        if len(cache) > CACHED:
+        if len(cache) > CACHED or not cache:
             cache.clear()
-        new = set().union(*spaced.values()).difference(cache)
-        broken = [w for w in new if "\n" in w or not w]
-        new = list(new.difference(broken))
-        cache.update(zip(new, of_words(new), strict=True))
-        cache.update(zip(broken, ids([f" {w}" for w in broken]), strict=True))
+            cache.update(zip(("\n", ""), ids(["\n", " "]), strict=True))
+        learn(set().union(*spaced.values()).difference(cache))
         for i, w in spaced.items():
             out[i] += b"".join(map(cache.__getitem__, w))
         return out
