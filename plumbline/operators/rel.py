@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators import spatial
+from plumbline.tables import cut
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in `order`. End `order` with a unique column, so that ties have one answer."""
@@ -73,20 +76,58 @@ def claim(jobs: DataFrame, lanes: Sequence[str], per_lane: int, order: Sequence[
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
     """(root, node, depth) for every node below the roots in edges (parent, child), cycles walked once.
 
-    A level is one join; levels end when a join finds nothing new. Each is checkpointed where the session has a
-    folder for that.
+    A level is one join; levels end when a join finds nothing new, and a tree deeper than max_depth is an error.
     """
     level = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
     found = level
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
-        level = level.join(found.select("root", "node"), ["root", "node"], "left_anti").distinct()
-        if level.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        level = cut(level.join(found.select("root", "node"), ["root", "node"], "left_anti").distinct())
         if level.isEmpty():
             return found
         found = found.union(level)
-    return found
+    raise RuntimeError(f"a tree is deeper than {max_depth} levels")
+
+
+def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(node, ancestor, depth) for every child of edges (parent, child): the parent at depth 1, cycles walked once."""
+    up = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    below = descendants(up, edges.select(F.col("child").alias("root")).distinct(), max_depth)
+    return below.filter("depth > 0").select(F.col("root").alias("node"), F.col("node").alias("ancestor"), "depth")
+
+
+def cyclic(parents: DataFrame) -> DataFrame:
+    """Nodes (node) on a cycle of (child, parent), a parent each or null, and those below one.
+
+    Pointers double: after each round they reach twice as far, and nodes whose pointer has left the tree drop out.
+    A round in which none does leaves only those that never will.
+    """
+    left = cut(parents.filter("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("to")))
+    n = left.count()
+    while n:
+        step = left.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        left = cut(left.join(step, "to").select("node", F.col("next").alias("to")))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select("node")
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: str, kind: str, at: Sequence[str], near: float, value: str, within_value: float) -> DataFrame:
+    """Rows of `a` that no row of `b` equals: of the same kind, within `near` of its place, its value within a tolerance.
+
+    A row without a place, or without a value, equals only rows without one. Placed rows meet by grid cells.
+    """
+    fits = (F.col(value).isNull() & F.col(f"_{value}").isNull()) | F.coalesce(F.abs(F.col(value) - F.col(f"_{value}")) <= within_value, F.lit(False))
+    other = b.select(F.col(key).alias("other"), F.col(value).alias(f"_{value}"))
+    placed = spatial.within(a.filter(F.col(at[0]).isNotNull()), b.filter(F.col(at[0]).isNotNull()), key, at, near, group=kind, itself=True)
+    hits = placed.select(key, "other").join(a.select(key, value), key).join(other, "other").filter(fits).select(key)
+    # Without a place, rows of a kind meet by cells of their value alone.
+    cell = lambda c: F.floor(F.col(c) / within_value)
+    alone = a.filter(F.col(at[0]).isNull()).select(key, kind, value, F.explode(F.when(F.col(value).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(cell(value) - 1, cell(value) + 1))).alias("_cell"))
+    there = b.filter(F.col(at[0]).isNull()).select(F.col(kind).alias("_kind"), F.col(value).alias(f"_{value}"), cell(value).alias("_there")).distinct()
+    met = alone.join(there, (alone[kind] == there["_kind"]) & alone["_cell"].eqNullSafe(there["_there"])).filter(fits).select(key)
+    return a.join(hits.union(met).distinct(), key, "left_anti")
 
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.tables import cut
+
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def within(a: DataFrame, b: DataFrame, key: str, at: Sequence[str], radius: float, group: str | None = None) -> DataFrame:
-    """(key, other, distance) of pairs of different points at most `radius` apart, of the same group if one is named.
+def within(a: DataFrame, b: DataFrame, key: str, at: Sequence[str], radius: float, group: str | None = None, itself: bool = False) -> DataFrame:
+    """(key, other, distance) of pairs of points at most `radius` apart, of the same group if one is named.
+
+    A point meets another with its own key only if `itself`.
 
     Each row of `b` goes to its own cell, each of `a` to the cells within reach, so cells meet in one equi-join;
     a crowded cell is split by the engine's skew handling.
@@ -24,10 +28,26 @@ def within(a: DataFrame, b: DataFrame, key: str, at: Sequence[str], radius: floa
         left = left.withColumn(f"_c_{c}", F.explode(_cells(F.col(c) - radius, F.col(c) + radius, radius)))
     right = b.select(*by, F.col(key).alias("other"), *[F.col(c).alias(f"_o_{c}") for c in at], *[F.floor(F.col(c) / radius).alias(f"_c_{c}") for c in at])
     distance = F.sqrt(sum(((F.col(c) - F.col(f"_o_{c}")) ** 2 for c in at), F.lit(0.0)))
-    near = left.join(right, [*by, *[f"_c_{c}" for c in at]]).filter(F.col(key) != F.col("other")).withColumn("distance", distance)
+    near = left.join(right, [*by, *[f"_c_{c}" for c in at]]).filter(F.lit(itself) | (F.col(key) != F.col("other"))).withColumn("distance", distance)
     return near.filter(F.col("distance") <= radius).select(*by, key, "other", "distance")
 
 
+def closest_pairs(points: DataFrame, key: str, at: Sequence[str], group: str, radius: float) -> DataFrame:
+    """(group, key, other, distance): the closest two points of each group of two or more, the smallest keys on ties.
+
+    The range join starts at `radius`; groups without a pair there are tried again at twice the radius, and so on, so a
+    radius that fits most groups makes few pairs and none is left out.
+    """
+    left = cut(points.join(points.groupBy(group).count().filter("count > 1").select(group), group, "left_semi"))
+    found = None
+    while not left.isEmpty():
+        near = within(left, left, key, at, radius, group=group).filter(F.col(key) < F.col("other"))
+        best = cut(near.groupBy(group).agg(F.min(F.struct("distance", key, "other")).alias("m")).select(group, f"m.{key}", "m.other", "m.distance"))
+        found = best if found is None else found.union(best)
+        left, radius = cut(left.join(best.select(group), group, "left_anti")), 2 * radius
+    return found if found is not None else points.select(group, key, F.col(key).alias("other"), F.lit(0.0).alias("distance")).limit(0)
+
+
 def overlaps(a: DataFrame, b: DataFrame, low: str, high: str, size: float, keys: Sequence[str]) -> DataFrame:
     """Pairs of intervals (low, high) that overlap: keys of `a`, keys of `b` with _b, and overlap.
 
@@ -54,7 +74,7 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, size: floa
 def nearest_to_anchor(rows: DataFrame, anchors: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """The row of each group nearest to its anchor (group, anchor), the smallest key on ties, without the anchor row."""
     d = F.sqrt(F.aggregate(F.zip_with(vector, "anchor", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    near = rows.join(F.broadcast(anchors), group).filter(F.col(key) != F.col("anchor_key")).withColumn("distance", d)
+    near = rows.join(anchors, group).filter(F.col(key) != F.col("anchor_key")).withColumn("distance", d)
     best = near.groupBy(group).agg(F.min(F.struct("distance", key)).alias("x"))
     return best.select(group, F.col(f"x.{key}").alias(key), F.col("x.distance").alias("distance"))
 

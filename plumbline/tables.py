@@ -6,3 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`, on any file system that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut where the session has a folder for that; as it is elsewhere."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
