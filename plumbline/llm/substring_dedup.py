@@ -217,9 +217,10 @@ def _earliest(rows: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Every row of `docs`: doc_id, n_words, n_removed, kept_sha256."""
     base = cut(summaries(docs))
-    first = base.filter("doc_id is not null and n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("owner"))
+    # Written for the same reason: a text of many copies is split.
+    first = cut(base.filter("doc_id is not null and n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").drop("other"))
     named = cut(base.join(first, ["f1", "f2", "n_words"], "left"))
-    own = named.filter("doc_id = owner and size(keys) > 0").select("doc_id", "f1", F.explode("keys").alias("key"))
+    own = named.filter("doc_id = coalesce(owner, doc_id) and size(keys) > 0").select("doc_id", "f1", F.explode("keys").alias("key"))
     shared = cut(own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key"))
     keys = own.join(shared, "key").groupBy("doc_id", "f1").agg(F.collect_list("key").alias("shared"))
     suspects = cut(
