@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.seq import in_order
 from plumbline.operators.spatial import within
 
 #: Rewards: weights of parts and the least reward of an accepted layout. Fixed values.
@@ -35,9 +36,12 @@ def violations(before: DataFrame, after: DataFrame, most_move: float, room: tupl
     return both.select("id", F.explode(named).alias("violation"))
 
 
-def collisions(pieces: DataFrame, reach: float) -> DataFrame:
-    """(id, other) of axis-aligned pieces (id, x, y, width, depth) that overlap; none is larger than `reach`."""
-    near = within(pieces, pieces, "id", ["x", "y"], reach).filter("id < other")
+def collisions(pieces: DataFrame, reach: float, group: str | None = None) -> DataFrame:
+    """(id, other) of axis-aligned pieces (id, x, y, width, depth), of a group if named, that overlap.
+
+    No piece is larger than `reach`.
+    """
+    near = within(pieces, pieces, "id", ["x", "y"], reach, group=group).filter("id < other")
     size = pieces.select("id", "x", "y", "width", "depth")
     b = size.select(F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "depth")])
     both = near.join(size, "id").join(b, "other")
@@ -115,3 +119,25 @@ def near_duplicate_split(frames: DataFrame, key: str, order: Sequence[str], dt:
         & (F.least(turn, 360 - turn) <= angle)
     )
     return frames.withColumn("duplicate", F.coalesce(near, F.lit(False)))
+
+
+def picked_frames(frames: DataFrame, key: str, dt: float, distance: float, angle: float, most: int = 6) -> DataFrame:
+    """(key, frame) of up to `most` frames a key (at, frame, x, y, heading), in order of time, then frame.
+
+    A frame is picked if it is separated from every one picked before: later than `dt`, farther than `distance`, or
+    turned by more than `angle`. A key's state is the frames picked so far.
+    """
+    from math import hypot
+
+    def separated(a, b) -> bool:
+        turn = abs(a.heading - b.heading) % 360
+        return abs(a.at - b.at) > dt or hypot(a.x - b.x, a.y - b.y) > distance or min(turn, 360 - turn) > angle
+
+    def step(picked: list, row):
+        if len(picked) >= most or not all(separated(row, p) for p in picked):
+            return None
+        picked.append(row)
+        return getattr(row, key), row.frame
+
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    return in_order(frames.select(key, "frame", "at", "x", "y", "heading"), key, ["at", "frame"], list, step, f"{key} {kinds[key]}, frame {kinds['frame']}")

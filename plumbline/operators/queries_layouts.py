@@ -30,10 +30,10 @@ def layout_violations(spark, sf_dir):
     return layouts.violations(before, moved(before), 1.0, (6.0, 8.0))
 
 
-@query("layout_collisions", f"""WITH b AS (SELECT * FROM ({BEFORE}) WHERE id % 4 = 1) SELECT p.id, o.id AS other FROM b p JOIN b o ON p.id < o.id AND abs(p.x - o.x) < (p.width + o.width) / 2 - 1e-9 AND abs(p.y - o.y) < (p.depth + o.depth) / 2 - 1e-9""")
+@query("layout_collisions", f"""WITH b AS (SELECT *, id // 50 AS scene FROM ({BEFORE})) SELECT p.id, o.id AS other FROM b p JOIN b o ON p.scene = o.scene AND p.id < o.id AND abs(p.x - o.x) < (p.width + o.width) / 2 - 1e-9 AND abs(p.y - o.y) < (p.depth + o.depth) / 2 - 1e-9""")
 def layout_collisions(spark, sf_dir):
-    """L03, K05, J20."""
-    return layouts.collisions(pieces(spark, sf_dir).filter("id % 4 = 1"), 1.8)
+    """In scenes of fifty pieces."""
+    return layouts.collisions(pieces(spark, sf_dir).withColumn("scene", F.floor(F.col("id") / 50)), 1.8, group="scene")
 
 
 @query("usability_by_brand", """SELECT p_brand, round(coalesce(avg(CASE WHEN p_size > 0 THEN least(1.0, (p_partkey % 60) / p_size) END), 1), 6) AS usable FROM part GROUP BY p_brand""")
@@ -101,6 +101,13 @@ def duplicate_frames(spark, sf_dir):
     return layouts.near_duplicate_split(e, "label", ["vec_id"], 12, 0.3, 40).select("vec_id", "duplicate")
 
 
+@query("picked_frames")
+def picked_frames(spark, sf_dir):
+    """Up to six frames a walk, each separated from all picked before; tests compare it with a loop."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("frame"), F.col("vec_id").cast("double").alias("at"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xy")], (F.col("vec_id") * 37 % 360).cast("double").alias("heading"))
+    return layouts.picked_frames(e, "label", 40.0, 0.3, 90.0)
+
+
 @query("solid_kernels")
 def solid_kernels(spark, sf_dir):
     """Kernels over the points of each label."""

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.operators import kernels as K
-from plumbline.operators import spatial
+from plumbline.operators import seq, spatial
 from plumbline.registry import query
 from plumbline.tables import table
 
@@ -36,23 +36,20 @@ def neighbours_within(spark, sf_dir):
 
 
 @query("closest_pair_by_brand", f"""WITH p AS ({POINTS}) SELECT b, k, other, round(d, 6) AS distance FROM (SELECT a.b, a.k, o.k AS other, sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2) AS d FROM p a JOIN p o ON a.b = o.b AND a.k < o.k)
-    WHERE d <= 3 QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, k, other) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY b ORDER BY d, k, other) = 1""")
 def closest_pair_by_brand(spark, sf_dir):
-    """Through the range join, up to a radius."""
-    p = _points(spark, sf_dir)
-    near = spatial.within(p, p, "k", ["x", "y"], 3.0, group="b").filter("k < other")
-    best = near.groupBy("b").agg(F.min(F.struct("distance", "k", "other")).alias("m"))
-    return best.select("b", "m.k", "m.other", F.round("m.distance", 6).alias("distance"))
+    """Through range joins that widen until every brand has its pair."""
+    return spatial.closest_pairs(_points(spark, sf_dir), "k", ["x", "y"], "b", 0.5).withColumn("distance", F.round("distance", 6))
 
 
-@query("order_windows_overlap", """WITH w AS (SELECT l_orderkey AS k, epoch(min(l_shipdate)) / 86400 AS low, epoch(max(l_shipdate)) / 86400 AS high FROM lineitem WHERE l_suppkey % 25 = 3 GROUP BY 1)
-    SELECT a.k, count(*) AS n, round(sum(least(a.high, b.high) - greatest(a.low, b.low)), 3) AS days FROM w a JOIN w b ON a.k <> b.k AND greatest(a.low, b.low) <= least(a.high, b.high) GROUP BY a.k""")
+@query("order_windows_overlap", """WITH w AS (SELECT l_orderkey AS k, epoch(min(l_shipdate)) / 86400 AS low, epoch(max(l_shipdate)) / 86400 AS high FROM lineitem GROUP BY 1), c AS (SELECT low, high, count(*) AS m FROM w GROUP BY ALL),
+    p AS (SELECT a.low, a.high, sum(b.m) - 1 AS n, sum(b.m * (least(a.high, b.high) - greatest(a.low, b.low))) - (a.high - a.low) AS days FROM c a JOIN c b ON b.low <= a.high AND b.high >= a.low GROUP BY a.low, a.high)
+    SELECT k, n::BIGINT AS n, round(days, 3) AS days FROM w JOIN p USING (low, high) WHERE n > 0""")
 def order_windows_overlap(spark, sf_dir):
-    """Interval overlap by cells of 60 days."""
+    """How many other orders' windows each meets, and for how many days in sum, from running totals."""
     day = lambda c: (F.unix_micros(c.cast("timestamp")) / 1e6 / 86400)
-    w = table(spark, sf_dir, "lineitem").filter("l_suppkey % 25 = 3").groupBy(F.col("l_orderkey").alias("k")).agg(day(F.min("l_shipdate")).alias("low"), day(F.max("l_shipdate")).alias("high"))
-    pairs = spatial.overlaps(w, w, "low", "high", 60.0, ["k"]).filter("k <> k_b")
-    return pairs.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("overlap"), 3).alias("days"))
+    w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(day(F.min("l_shipdate")).alias("low"), day(F.max("l_shipdate")).alias("high"))
+    return seq.covering(w, "k", "low", "high", 60.0).filter("n > 0").select("k", "n", F.round("overlap", 3).alias("days"))
 
 
 @query("points_in_boxes", f"""WITH p AS ({POINTS}), b AS (SELECT s_suppkey AS box, (s_suppkey % 10) * 5.0 AS cx, (s_suppkey % 7) * 7.0 AS cy, 2.0 + s_suppkey % 3 AS hx, 1.0 + s_suppkey % 2 AS hy, s_suppkey * 0.37::DOUBLE AS a FROM supplier)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.tables import cut
+
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], inside: Column) -> DataFrame:
     """Rows where `inside` holds, with island: maximal runs of such rows are numbered from 1."""
@@ -37,7 +40,7 @@ def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     pairs = df.withColumn("to_state", F.lead(state).over(w)).filter("to_state is not null")
     counted = pairs.groupBy(F.col(state).alias("from_state"), "to_state").agg(F.count("*").alias("n"))
     total = counted.groupBy("from_state").agg(F.sum("n").alias("total"))
-    return counted.join(F.broadcast(total), "from_state").select("from_state", "to_state", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return counted.join(total, "from_state").select("from_state", "to_state", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
 
 
 def until_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], success: Column) -> DataFrame:
@@ -92,3 +95,79 @@ def sample_without_replacement(n: int, k: int, multiplier: int, offset: int) ->
     if gcd(multiplier, n) != 1 or k > n:
         raise ValueError("the multiplier must be prime to n, and k at most n")
     return [(i * multiplier + offset) % n for i in range(k)]
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], cell: str, order: str, values: dict[str, str]) -> DataFrame:
+    """`df` with the sum of each value over all rows up to and including its own, in the order of `cell`, then `order`.
+
+    values: new names by column. Only rows of a cell are ordered in one task; what comes before a cell is summed from a
+    row a cell. Cells must follow the order, and rows equal in `order` get one total.
+    """
+    before = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, cell).agg(*[F.sum(c).alias(f"_{c}") for c in values])
+    starts = sums.select(*keys, cell, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in values])
+    own = W.partitionBy(*keys, cell).orderBy(order)
+    placed = df.join(starts, [*keys, cell])
+    return placed.withColumns({name: F.col(f"_before_{c}") + F.sum(c).over(own) for c, name in values.items()}).drop(*[f"_before_{c}" for c in values])
+
+
+def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], cells: int = 1024) -> DataFrame:
+    """(group, q): exact percentiles of the values that aren't null, interpolated between neighbours, an array a group.
+
+    Equal values are counted first; counts are then summed in order by cells between the group's least and largest
+    value, so no task holds all values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    # Written, so that a group of many values is split in the join.
+    ends = cut(counts.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total")))
+    cell = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")) * cells), F.lit(0))
+    placed = running_totals(counts.join(ends, group).withColumn("cell", cell), [group], "cell", value, {"n": "upto"})
+    found = []
+    for q in qs:
+        at = F.lit(q) * (F.col("total") - 1)
+        has = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        low, high = (F.max(F.when(has(r), F.col(value))) for r in (F.floor(at), F.ceil(at)))
+        found.append(low + (high - low) * F.max(at - F.floor(at)))
+    return placed.groupBy(group).agg(F.array(*found).alias("q"))
+
+
+def covering(intervals: DataFrame, key: str, low: str, high: str, cell: float) -> DataFrame:
+    """(key, n, overlap): how many other intervals (closed) each meets, and for how long in sum.
+
+    No pairs are made. Intervals met are all but those that end before it begins or begin after it ends; the time in
+    common is what all intervals cover up to its end less what they cover up to its beginning. Both are running totals
+    over ends, by cells of `cell`.
+    """
+    marks = intervals.select(F.col(low).alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e"), F.col(low).alias("sb"), F.lit(0.0).alias("se")).union(
+        intervals.select(F.col(high), F.lit(0), F.lit(1), F.lit(0.0), F.col(high))
+    )
+    by = marks.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("b", "e", "sb", "se")]).withColumn("cell", F.floor(F.col("at") / cell))
+    tot = running_totals(by, [], "cell", "at", {"b": "begun", "e": "ended", "sb": "sum_begun", "se": "sum_ended"})
+    covered = F.col("at") * (F.col("begun") - F.col("ended")) - F.col("sum_begun") + F.col("sum_ended")
+    tot = tot.select("at", "begun", (F.col("ended") - F.col("e")).alias("ended_before"), covered.alias("covered"))
+    at = lambda c, s: tot.select(F.col("at").alias(c), *[F.col(x).alias(f"{x}_{s}") for x in ("begun", "ended_before", "covered")])
+    both = intervals.select(key, low, high).join(at(low, "l"), low).join(at(high, "h"), high)
+    return both.select(key, (F.col("begun_h") - F.col("ended_before_l") - 1).alias("n"), (F.col("covered_h") - F.col("covered_l") - (F.col(high) - F.col(low))).alias("overlap"))
+
+
+def in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """What `step(state, row)` gives for the rows of each key in order, None for nothing; it may change the state.
+
+    For operators whose next decision needs the one before. Many keys share a task, a key's rows stream through one,
+    and only its state is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        at, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if state is None or getattr(row, key) != at:
+                    at, state = getattr(row, key), start()
+                made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=names)
+
+    return df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

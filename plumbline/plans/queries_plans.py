@@ -89,12 +89,12 @@ def rule_outcomes(spark, sf_dir):
     return found.groupBy("rule_id", "outcome").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-@query("narrow_runs", """WITH r AS (SELECT l_orderkey AS route, l_linenumber * 40.0 + (l_partkey % 20) AS a, l_linenumber * 40.0 + (l_partkey % 20) + l_quantity AS b, 28 + l_suppkey % 10 AS w, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey <= 500),
+@query("narrow_runs", """WITH r AS (SELECT l_orderkey AS route, l_linenumber * 40.0 + (l_partkey % 20) AS a, l_linenumber * 40.0 + (l_partkey % 20) + l_quantity AS b, 28 + l_suppkey % 10 AS w, l_partkey, l_suppkey FROM lineitem),
     s AS (SELECT *, lead(a) OVER (PARTITION BY route ORDER BY a, b) - b AS nxt FROM r) SELECT route, CASE WHEN bool_or(coalesce(w < 32 - 1e-6 OR b - a > 24 + 1e-6 OR nxt < 48 - 1e-6, false)) THEN 'problem' ELSE 'passes' END AS outcome FROM s GROUP BY route""")
 def narrow_runs(spark, sf_dir):
     """A route that narrows in places."""
     start = F.col("l_linenumber") * 40.0 + F.col("l_partkey") % 20
-    runs = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 500").select(F.col("l_orderkey").alias("route"), start.alias("start"), (start + F.col("l_quantity")).alias("end"), (28 + F.col("l_suppkey") % 10).alias("width"))
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), start.alias("start"), (start + F.col("l_quantity")).alias("end"), (28 + F.col("l_suppkey") % 10).alias("width"))
     return rules.reduced_width(runs, ["route"])
 
 
@@ -105,10 +105,9 @@ def compliance_matrix(spark, sf_dir):
 
 
 @query("arrangements", """SELECT p_brand, CASE WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'pair' WHEN rows = 1 THEN 'row' WHEN rows = 2 THEN 'two_rows' ELSE 'spread' END AS shape FROM (SELECT p_brand, count(*) AS n, max(g) + 1 AS rows FROM (
-    SELECT p_brand, sum(new) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS g FROM (SELECT *, CASE WHEN p_size - lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) > 4 THEN 1 ELSE 0 END AS new FROM part WHERE p_partkey % 40 = 0)) GROUP BY p_brand)""")
+    SELECT p_brand, sum(new) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS g FROM (SELECT *, CASE WHEN p_size - lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) > 4 THEN 1 ELSE 0 END AS new FROM part)) GROUP BY p_brand)""")
 def arrangements(spark, sf_dir):
     """The shape of a set of pieces from their chain groups."""
-    some = table(spark, sf_dir, "part").filter("p_partkey % 40 = 0")
-    groups = seq.chain_groups(some, ["p_brand"], "p_size", 4, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"), (F.max("group_id") + 1).alias("rows"))
+    groups = seq.chain_groups(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 4, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"), (F.max("group_id") + 1).alias("rows"))
     shape = F.when(F.col("n") == 1, "one").when(F.col("n") == 2, "pair").when(F.col("rows") == 1, "row").when(F.col("rows") == 2, "two_rows").otherwise("spread")
     return groups.select("p_brand", shape.alias("shape"))

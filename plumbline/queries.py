@@ -1,6 +1,6 @@
 """The queries over the reference's own operators: importing their modules registers them."""
 
-from plumbline.plans import queries_plans  # noqa: F401
+from plumbline.plans import queries_packs, queries_plans  # noqa: F401
 from plumbline.operators import queries_layouts, queries_more, queries_relational, queries_scene, queries_sequence, queries_spatial  # noqa: F401
 from plumbline.registry import ORACLES, QUERIES  # noqa: F401
 from plumbline.sources import queries_sources  # noqa: F401

@@ -17,7 +17,11 @@ def read_rooms(spark: SparkSession, path: str) -> DataFrame:
     confidence is low; a missing id follows from the path, kind and index. A document without elements is an error
     when it is read.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+    return rooms(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc")))
+
+
+def rooms(docs: DataFrame) -> DataFrame:
+    """The elements of room documents (path, doc), as `read_rooms` gives them."""
 
     def of_kind(name: str, kind: str) -> Column:
         array = F.coalesce(F.from_json(F.get_json_object("doc", f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
@@ -38,6 +42,30 @@ def read_rooms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def boxes_as_pieces(boxes: DataFrame) -> DataFrame:
+    """Boxes (cx, cy, cz, w, d, h, yaw in degrees, relation) with a row-major matrix; without a relation they rest on the floor."""
+    a = F.radians("yaw")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    matrix = F.array(F.cos(a), -F.sin(a), zero, F.col("cx"), F.sin(a), F.cos(a), zero, F.col("cy"), zero, zero, one, F.col("cz"), zero, zero, zero, one)
+    return boxes.withColumn("matrix", matrix).withColumn("relation", F.coalesce("relation", F.lit("rests_on")))
+
+
+#: A small shop in metres, as (name, kind, x, y, w, d, h): fixed values.
+SHOP = [
+    ("floor", "floor", 3.0, 4.0, 6.0, 8.0, 0.02), ("south", "wall", 3.0, 0.0, 6.0, 0.04, 2.7), ("north", "wall", 3.0, 8.0, 6.0, 0.04, 2.7), ("west", "wall", 0.0, 4.0, 8.0, 0.04, 2.7),
+    ("east", "wall", 6.0, 4.0, 8.0, 0.04, 2.7), ("entrance", "door", 3.0, 0.0, 0.9, 0.05, 2.1), ("till", "counter", 4.5, 6.0, 2.4, 0.7, 0.9), ("table-1", "table", 1.5, 2.0, 0.8, 0.8, 0.74),
+    ("table-2", "table", 1.5, 5.0, 0.8, 0.8, 0.74), ("chair-1", "chair", 0.9, 2.0, 0.45, 0.45, 0.9), ("chair-2", "chair", 0.9, 5.0, 0.45, 0.45, 0.9), ("shelf", "shelf", 5.7, 3.0, 1.2, 0.4, 1.8),
+]
+
+
+def fixture_rooms(rooms_: DataFrame) -> DataFrame:
+    """The same small shop for each row (room): room, id, name, kind, x, y, w, d, h; ids are the same at every run."""
+    kind = "array<struct<name: string, kind: string, x: double, y: double, w: double, d: double, h: double>>"
+    shop = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("name", "kind", "x", "y", "w", "d", "h"), row, strict=True)]) for row in SHOP]).cast(kind)
+    rows = rooms_.select("room", F.inline(shop))
+    return rows.withColumn("id", F.sha2(F.concat_ws("/", F.lit("piece"), F.col("room").cast("string"), "name"), 256))
+
+
 def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     """One row per mesh part: path, part, transform, vertices, triangles. Documents that aren't meshes give none."""
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json(F.get_json_object("value", "$.parts"), MESH).alias("parts"))

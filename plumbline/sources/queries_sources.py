@@ -20,10 +20,44 @@ def covered_surfaces(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter((F.col("l_discount") * 10 >= 0.70 - 1e-9) & (F.col("l_linenumber") >= 2)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("room_documents", "SELECT n_nationkey, n_name AS category, 'low' AS confidence, n_regionkey * 1.5::DOUBLE AS x FROM nation")
+@query("room_documents", """SELECT n_regionkey AS room, kind, i AS "index", category, confidence, x, y, tx FROM (
+    SELECT n_regionkey, 'object' AS kind, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_name AS category, CASE WHEN n_nationkey % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, n_regionkey * 1.5::DOUBLE AS x, 2.0::DOUBLE AS y, n_nationkey / 2 AS tx FROM nation
+    UNION ALL SELECT r_regionkey, 'wall', 0, 'wall', 'medium', 4.0, 2.5, r_regionkey / 4 FROM region)""")
 def room_documents(spark, sf_dir):
-    """Nations written to JSON text and read back, with what is missing filled in."""
-    item = F.to_json(F.struct(F.col("n_name").alias("category"), F.struct((F.col("n_regionkey") * 1.5).alias("x")).alias("dimensions")))
-    n = table(spark, sf_dir, "nation").select("n_nationkey", item.alias("item"))
-    text = lambda path: F.get_json_object("item", f"$.{path}")
-    return n.select("n_nationkey", text("category").alias("category"), F.coalesce(text("confidence"), F.lit("low")).alias("confidence"), text("dimensions.x").cast("double").alias("x"))
+    """Nations as the objects of their region's room document, through the reader of rooms.
+
+    Categories and confidences are text or objects of one key, extents objects or arrays, matrices flat or rows.
+    """
+    k = F.col("n_nationkey")
+    flat = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) if i != 12 else k / 2 for i in range(16)])
+    rows = F.array(*[F.array(*[F.lit(1.0 if r == c else 0.0) if (r, c) != (3, 0) else k / 2 for c in range(4)]) for r in range(4)])
+    plain = F.to_json(F.struct(F.col("n_name").alias("category"), F.struct((F.col("n_regionkey") * 1.5).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("z")).alias("dimensions"), flat.alias("transform")))
+    keyed = F.to_json(
+        F.struct(F.create_map("n_name", F.create_map().cast("map<string,string>")).alias("category"), F.create_map(F.lit("high"), F.create_map().cast("map<string,string>")).alias("confidence"),
+                 F.array(F.col("n_regionkey") * 1.5, F.lit(2.0), F.lit(1.0)).alias("dimensions"), rows.alias("transform"))
+    )
+    items = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), k.alias("k"), F.when(k % 3 == 0, keyed).otherwise(plain).alias("item"))
+    by = items.groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), ",").alias("objects"))
+    wall = F.format_string('{"category":"wall","confidence":"medium","dimensions":{"x":4.0,"y":2.5,"z":0.1},"transform":[1,0,0,0,0,1,0,0,0,0,1,0,%s,0,0,1]}', (F.col("r_regionkey") / 4).cast("string"))
+    docs = table(spark, sf_dir, "region").join(by, F.col("r") == F.col("r_regionkey"), "left").select(
+        F.col("r_regionkey").cast("string").alias("path"), F.concat(F.lit('{"walls":['), wall, F.lit('],"objects":['), F.coalesce("objects", F.lit("")), F.lit("]}")).alias("doc")
+    )
+    found = io.rooms(docs)
+    return found.select(F.col("path").cast("int").alias("room"), "kind", "index", "category", "confidence", "x", "y", F.col("matrix")[12].alias("tx"))
+
+
+@query("oriented_boxes", """SELECT p_partkey, cos(a) AS m0, -sin(a) AS m1, x AS m3, sin(a) AS m4, cos(a) AS m5, y AS m7, z AS m11, p_size / 10 AS w, CASE WHEN p_partkey % 4 = 0 THEN 'hosted' ELSE 'rests_on' END AS relation
+    FROM (SELECT *, radians(p_partkey % 360) AS a, p_partkey % 60 / 10 AS x, p_partkey % 80 / 10 AS y, p_size / 20 AS z FROM part)""")
+def oriented_boxes(spark, sf_dir):
+    """Boxes by centre, size and yaw as pieces with matrices."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    boxes = table(spark, sf_dir, "part").select("p_partkey", (k % 60 / 10).alias("cx"), (k % 80 / 10).alias("cy"), (s / 20).alias("cz"), (s / 10).alias("w"), (s / 10).alias("d"), (s / 10).alias("h"), (k % 360).alias("yaw"), F.when(k % 4 == 0, "hosted").alias("relation"))
+    m = lambda i: F.col("matrix")[i].alias(f"m{i}")
+    return io.boxes_as_pieces(boxes).select("p_partkey", *[m(i) for i in (0, 1, 3, 4, 5, 7, 11)], "w", "relation")
+
+
+@query("fixture_rooms", """SELECT c_custkey AS room, count(*) AS pieces, sum(CASE WHEN kind = 'wall' THEN 1 ELSE 0 END)::BIGINT AS walls, round(sum(w), 6) AS widths FROM customer, (VALUES ('floor', 6.0), ('wall', 6.0), ('wall', 6.0), ('wall', 8.0), ('wall', 8.0), ('door', 0.9), ('counter', 2.4), ('table', 0.8), ('table', 0.8), ('chair', 0.45), ('chair', 0.45), ('shelf', 1.2)) t(kind, w) GROUP BY c_custkey""")
+def fixture_rooms(spark, sf_dir):
+    """The fixture room for every customer, its ids from the room and the piece's name."""
+    made = io.fixture_rooms(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("room")))
+    return made.groupBy("room").agg(F.count_distinct("id").alias("pieces"), F.count_if(F.col("kind") == "wall").alias("walls"), F.round(F.sum("w"), 6).alias("widths"))

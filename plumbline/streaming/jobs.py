@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.operators.seq import in_order
+
 
 def settled(arrivals: DataFrame, key: str, at: str, settle: str, watermark: str = "0 seconds") -> DataFrame:
     """(key, first, last, n) of each burst of arrivals, once no more came for `settle`: a session window."""
@@ -44,51 +46,71 @@ def admitted(events: DataFrame, key: str, order: str, at: str, seconds: float, l
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean"
 
-    def judge(rows: pd.DataFrame, times: list[float]) -> tuple[pd.DataFrame, list[float]]:
-        rows = rows.sort_values([at, order], kind="stable")
-        fits = []
-        for t in rows[at].map(pd.Timestamp.timestamp):
-            times = [x for x in times if x > t - seconds]
-            fits.append(len(times) < limit)
-            if fits[-1]:
-                times.append(t)
-        return rows[[key, order]].assign(admitted=fits), times
+    def admit(times: list[float], row) -> tuple:
+        t = getattr(row, at).timestamp()
+        times[:] = [x for x in times if x > t - seconds]
+        fits = len(times) < limit
+        if fits:
+            times.append(t)
+        return getattr(row, key), getattr(row, order), fits
 
     if not events.isStreaming:
-        return events.groupBy(key).applyInPandas(lambda rows: judge(rows, [])[0], out)
+        return in_order(events, key, [at, order], list, admit, out)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        made, times = judge(pd.concat(list(batches)), list(state.get[0]) if state.exists else [])
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values([at, order], kind="stable")
+        yield pd.DataFrame([admit(times, row) for row in rows.itertuples(index=False)], columns=[key, order, "admitted"])
         state.update((times,))
-        yield made
 
     return events.groupBy(key).applyInPandasWithState(step, out, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def sampled(frames: DataFrame, key: str, order: str, at: str, value: str, least_gap: float, most_gap: float, least_move: float) -> DataFrame:
-    """(key, order) of frames kept: the first; then after most_gap, or after least_gap with a move, since the last kept."""
+def sampled(
+    frames: DataFrame, key: str, order: str, at: str, value: str, least_gap: float, most_gap: float, least_move: float, heading: str | None = None, least_turn: float = 8.0
+) -> DataFrame:
+    """(key, order) of frames kept: the first; then after most_gap, or after least_gap with a move or a turn, since the last kept.
+
+    heading, in degrees, is turned in either direction; without one nothing turns.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     out = f"{key} {kinds[key]}, {order} {kinds[order]}"
+    where = heading or value
 
-    def pick(rows: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-        rows = rows.sort_values([at, order], kind="stable")
-        kept = []
-        for t, v in zip(rows[at].map(pd.Timestamp.timestamp), rows[value], strict=True):
-            gap = None if last is None else t - last[0]
-            kept.append(gap is None or gap >= most_gap or (gap >= least_gap and abs(v - last[1]) >= least_move))
-            if kept[-1]:
-                last = (t, float(v))
-        return rows.loc[kept, [key, order]], last
+    def keep(last: list[float], row) -> tuple | None:
+        t, v, h = getattr(row, at).timestamp(), float(getattr(row, value)), float(getattr(row, where))
+        if last:
+            gap, turn = t - last[0], abs(h - last[2]) % 360 if heading else 0.0
+            if gap < most_gap and (gap < least_gap or (abs(v - last[1]) < least_move and min(turn, 360 - turn) < least_turn)):
+                return None
+        last[:] = [t, v, h]
+        return getattr(row, key), getattr(row, order)
 
     if not frames.isStreaming:
-        return frames.groupBy(key).applyInPandas(lambda rows: pick(rows, None)[0], out)
+        return in_order(frames, key, [at, order], list, keep, out)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        made, last = pick(pd.concat(list(batches)), tuple(state.get) if state.exists else None)
-        state.update(last)
-        yield made
+        last = list(state.get) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values([at, order], kind="stable")
+        kept = [keep(last, row) for row in rows.itertuples(index=False)]
+        yield pd.DataFrame([k for k in kept if k is not None], columns=[key, order])
+        state.update(tuple(last))
+
+    return frames.groupBy(key).applyInPandasWithState(step, out, "at double, value double, heading double", "append", GroupStateTimeout.NoTimeout)
 
-    return frames.groupBy(key).applyInPandasWithState(step, out, "at double, value double", "append", GroupStateTimeout.NoTimeout)
+
+def due(bundles: DataFrame, arrivals: DataFrame, key: str, now: Column, settle: float) -> DataFrame:
+    """(key, version, why) of what is to be processed: the latest bundle of a key, complete and not yet processed as it is.
+
+    bundles: key, version, complete, manifest, processed (the manifest that was), photos. arrivals: key, at. why: photos
+    (no wait), nothing came, or settled: the newest arrival lies `settle` seconds back.
+    """
+    last = bundles.groupBy(key).agg(F.max_by(F.struct("version", "complete", "manifest", "processed", "photos"), "version").alias("b")).select(key, "b.*")
+    ready = last.filter("complete and not (processed <=> manifest)")
+    newest = arrivals.groupBy(key).agg(F.max("at").alias("newest"))
+    quiet = (F.unix_micros(now) - F.unix_micros("newest")) / 1e6 >= settle
+    why = F.when(F.col("photos"), "photos").when(F.col("newest").isNull(), "nothing came").when(quiet, "settled")
+    return ready.join(newest, key, "left").withColumn("why", why).filter("why is not null").select(key, "version", "why")
 
 
 def versions(evidence: DataFrame, key: str, at: str, item: str) -> DataFrame:

@@ -42,6 +42,27 @@ def sampled_frames(spark, sf_dir):
     return jobs.sampled(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", "event_id", "ts", "value", 3600.0, 86400.0, 100.0)
 
 
+@query("walk_frames")
+def walk_frames(spark, sf_dir):
+    """A user's events as a walk, with a turn of eight degrees; tests compare it with a loop."""
+    e = _events(spark, sf_dir).select("user_id", "event_id", "ts", "value", (F.col("event_id") * 7 % 360).cast("double").alias("heading"))
+    return jobs.sampled(e, "user_id", "event_id", "ts", "value", 1800.0, 43200.0, 100.0, heading="heading")
+
+
+@query("due_bundles", """WITH b AS (SELECT o_custkey AS k, o_orderkey AS version, o_orderstatus <> 'P' AS complete, o_orderpriority AS manifest, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN 'old' END AS processed, o_orderkey % 5 = 0 AS photos FROM orders),
+    l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY k ORDER BY version DESC) = 1), n AS (SELECT user_id AS k, max(ts) AS newest FROM events GROUP BY 1)
+    SELECT k, version, why FROM (SELECT l.k, version, CASE WHEN photos THEN 'photos' WHEN newest IS NULL THEN 'nothing came' WHEN newest <= TIMESTAMP '2024-01-20' - INTERVAL 1 DAY THEN 'settled' END AS why FROM l LEFT JOIN n ON n.k = l.k WHERE complete AND processed IS DISTINCT FROM manifest) WHERE why IS NOT NULL""")
+def due_bundles(spark, sf_dir):
+    """Bundles with photos at once, those that nothing came for, and the rest once arrivals have settled."""
+    k = F.col("o_orderkey")
+    bundles = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), k.alias("version"), (F.col("o_orderstatus") != "P").alias("complete"), F.col("o_orderpriority").alias("manifest"),
+        F.when(k % 3 == 0, F.col("o_orderpriority")).when(k % 3 == 1, "old").alias("processed"), (k % 5 == 0).alias("photos"),
+    )
+    arrivals = _events(spark, sf_dir).select(F.col("user_id").alias("k"), F.col("ts").alias("at"))
+    return jobs.due(bundles, arrivals, "k", F.lit("2024-01-20").cast("timestamp"), 86400.0)
+
+
 @query("evidence_versions", """SELECT user_id, version, event_id, items FROM (SELECT user_id, event_id, row_number() OVER w AS version, list_sort(list_distinct(list(event_type) OVER (w ROWS UNBOUNDED PRECEDING))).array_to_string(',') AS items
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id, event_type))""")
 def evidence_versions(spark, sf_dir):
