@@ -6,7 +6,7 @@ Scenes are made from `part`: fifty pieces each, so their number grows with the t
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
-from plumbline.operators import rel, scene
+from plumbline.operators import rel, scene, spatial
 from plumbline.registry import query
 from plumbline.tables import table
 
@@ -154,3 +154,59 @@ def reproduced_problems(spark, sf_dir):
     window = scan.filter("id % 5 <> 2").select("id", chk.alias("chk"), (F.col("x") + F.col("id") % 3 * 0.2).alias("x"), "y", (F.col("width") + F.col("id") % 4 * 0.5).alias("width"))
     lost, invented = (rel.unmatched(a, b, "id", "chk", ["x", "y"], 0.25, "width", 1.0) for a, b in ((scan, window), (window, scan)))
     return lost.select(F.lit("lost").alias("side"), "id").union(invented.select(F.lit("invented"), "id"))
+
+
+PLACED = f"SELECT *, CASE WHEN i = 0 THEN 0.0 WHEN i < 5 THEN 1.35 ELSE (k % 6) / 4 END AS z, k AS id2 FROM (SELECT *, id AS k FROM ({SIZED}))"
+
+
+def _placed(spark, sf_dir):
+    k = F.col("id")
+    z = F.when(k % 50 == 0, 0.0).when(k % 50 < 5, 1.35).otherwise(k % 6 / 4)
+    return pieces(spark, sf_dir).withColumns({"x": F.col("matrix")[3], "y": F.col("matrix")[7], "z": z})
+
+
+@query("nearest_walls", f"""WITH s AS ({PIECES}), w AS (SELECT scene, id AS wall, x - 2 AS x1, y AS y1, x + 2 AS x2, y + 1 AS y2 FROM s WHERE i BETWEEN 1 AND 4), p AS (SELECT scene, id, x, y FROM s WHERE i >= 5),
+    t AS (SELECT p.id, wall, greatest(0, least(1, ((x - x1) * 4 + (y - y1) * 1) / 17)) AS t, x, y, x1, y1 FROM p JOIN w USING (scene)), d AS (SELECT id, wall, sqrt((x - x1 - t * 4) ** 2 + (y - y1 - t) ** 2) AS d FROM t)
+    SELECT id, wall, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, wall) = 1""")
+def nearest_walls(spark, sf_dir):
+    """Each piece's nearest wall, by projection held within the wall's ends."""
+    p = _placed(spark, sf_dir)
+    walls = p.filter("id % 50 between 1 and 4").select("scene", F.col("id").alias("wall"), (F.col("x") - 2).alias("x1"), F.col("y").alias("y1"), (F.col("x") + 2).alias("x2"), (F.col("y") + 1).alias("y2"))
+    found = spatial.nearest_segments(p.filter("id % 50 >= 5").select("scene", "id", "x", "y"), walls, "id", "scene", "wall")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("best_supports", f"""WITH s AS (SELECT scene, id, x, y, width, depth, z - height / 2 AS bottom, z + height / 2 AS top, shell FROM ({PLACED})), n AS (SELECT a.id, b.id AS support, a.bottom - b.top AS gap, b.top AS t FROM s a JOIN s b ON a.scene = b.scene AND a.id <> b.id AND NOT b.shell
+    AND abs(a.x - b.x) <= b.width / 2 AND abs(a.y - b.y) <= b.depth / 2 AND abs(a.bottom - b.top) <= 0.3), r AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(gap), 9), -t, support) = 1)
+    SELECT s.id, support, round(gap, 6) AS gap FROM s LEFT JOIN r USING (id)""")
+def best_supports(spark, sf_dir):
+    """What each piece rests on."""
+    p = scene.predicates(_placed(spark, sf_dir)).withColumns({"bottom": F.col("z") - F.col("height") / 2, "top": F.col("z") + F.col("height") / 2})
+    return spatial.best_support(p, "scene", 0.3).select("id", "support", F.round("gap", 6).alias("gap"))
+
+
+@query("measured_pieces", f"""WITH s AS (SELECT *, shell AND height <= 0.05 AS flat, shell AND height > 0.05 AS upright FROM ({PLACED})), w AS (SELECT scene, max(z + height / 2) AS t FROM s WHERE upright GROUP BY scene)
+    SELECT s.id, round(CASE WHEN s.parent IS NULL OR (coalesce(p.flat, false) AND s.relation = 'rests_on') THEN s.width * s.depth / 0.0254::DOUBLE ** 2 END, 4) AS floor_area, round(greatest(0, w.t - s.z - s.height / 2) / 0.0254::DOUBLE, 4) AS clearance
+    FROM s LEFT JOIN s p ON p.scene = s.scene AND p.id = s.parent LEFT JOIN w ON w.scene = s.scene""")
+def measured_pieces(spark, sf_dir):
+    """Floor areas, and clearances below the walls' tops."""
+    found = scene.measured(scene.predicates(_placed(spark, sf_dir)))
+    return found.select("id", F.round("floor_area", 4).alias("floor_area"), F.round("clearance", 4).alias("clearance"))
+
+
+@query("ways_between", f"""WITH s AS ({PLACED}) SELECT a.id, round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 6) AS distance, round((a.x + b.x) / 2, 6) AS middle_x, CASE WHEN sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) <= 0.01 THEN 'here' WHEN abs(b.x - a.x) >= abs(b.y - a.y)
+    THEN CASE WHEN b.x > a.x THEN 'right' ELSE 'left' END WHEN b.y > a.y THEN 'front' ELSE 'behind' END AS way FROM s a JOIN s b ON b.id = a.parent""")
+def ways_between(spark, sf_dir):
+    """From each piece to what carries it: distance, the point between, and the way."""
+    p = _placed(spark, sf_dir)
+    carrier = p.filter("parent is not null").select("id", F.col("parent").alias("c")).join(p.select(F.col("id").alias("c"), "x", "y", "z"), "c")
+    return spatial.directions(p, carrier, "id").select("id", F.round("distance", 6).alias("distance"), F.round("middle.x", 6).alias("middle_x"), "way")
+
+
+@query("moved_pieces", f"""WITH RECURSIVE s AS ({PIECES}), a AS (SELECT id, id AS at, 0 AS depth FROM s UNION ALL SELECT a.id, s.parent, depth + 1 FROM a JOIN s ON s.id = a.at WHERE s.parent IS NOT NULL), m AS (SELECT a.id, a.at, depth FROM a WHERE a.at % 50 BETWEEN 5 AND 24 AND a.at % 3 = 0),
+    n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth) = 1) SELECT s.id, round(x + CASE WHEN n."at" IS NULL THEN 0 ELSE (n."at" % 4) / 2 END, 6) AS x, round(y + CASE WHEN n."at" IS NULL THEN 0 ELSE 0.25 END, 6) AS y, CASE WHEN n."at" <> s.id THEN n."at" END AS carried_by FROM s LEFT JOIN n ON n.id = s.id""")
+def moved_pieces(spark, sf_dir):
+    """Moves of pieces, with what they carry."""
+    p = _placed(spark, sf_dir)
+    moves = p.filter("id % 50 between 5 and 24 and id % 3 = 0").select("id", (F.col("id") % 4 / 2).alias("dx"), F.lit(0.25).alias("dy"))
+    return scene.moved(p, moves).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "carried_by")

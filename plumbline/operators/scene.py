@@ -119,3 +119,31 @@ def counted(pieces: DataFrame, asked: DataFrame) -> DataFrame:
     both = tally.join(F.broadcast(asked.distinct()), F.lit(True)).withColumn("fits", F.contains(F.lower("label"), F.lower("asked")))
     any_fits = both.groupBy("asked").agg(F.bool_or("fits").alias("found"))
     return both.join(any_fits, "asked").filter("fits or not found").select("asked", "label", "n", "found")
+
+
+def measured(pieces: DataFrame) -> DataFrame:
+    """(scene, id, floor_area, clearance): square inches of floor, and inches from the top to the highest wall's.
+
+    pieces: predicates' columns with z, the height of the centre. Floor area isn't measurable for a carried piece;
+    clearance isn't in a scene without walls, and never below 0.
+    """
+    walls = pieces.filter("upright").groupBy("scene").agg(F.max(F.col("z") + F.col("height") / 2).alias("wall_top"))
+    area = F.when(F.col("on_floor"), F.col("width") * F.col("depth") / X.INCH**2)
+    above = F.greatest(F.lit(0.0), F.col("wall_top") - F.col("z") - F.col("height") / 2) / X.INCH
+    return pieces.join(walls, "scene", "left").select("scene", "id", area.alias("floor_area"), above.alias("clearance"))
+
+
+def moved(pieces: DataFrame, moves: DataFrame) -> DataFrame:
+    """(scene, id, x, y, carried_by) after moves (id, dx, dy), one a piece: riders go along with what carries them.
+
+    A piece with a move of its own goes by that alone; others by the nearest mover among their carriers.
+    """
+    from plumbline.operators import rel
+
+    edges = pieces.filter("parent is not null").select("parent", F.col("id").alias("child"))
+    up = rel.ancestors(edges).select(F.col("node").alias("id"), "ancestor", "depth").union(pieces.select("id", F.col("id"), F.lit(0)))
+    nearest = up.join(moves.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("id").agg(F.min_by(F.struct("ancestor", "dx", "dy"), "depth").alias("m"))
+    zero = F.lit(0.0)
+    return pieces.join(nearest, "id", "left").select(
+        "scene", "id", (F.col("x") + F.coalesce("m.dx", zero)).alias("x"), (F.col("y") + F.coalesce("m.dy", zero)).alias("y"), F.when(F.col("m.ancestor") != F.col("id"), F.col("m.ancestor")).alias("carried_by")
+    )

@@ -92,3 +92,44 @@ def box_iou(a: Sequence[Column], b: Sequence[Column]) -> Column:
     h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
     return F.try_divide(w * h, area(a) + area(b) - w * h)
+
+
+def nearest_segments(points: DataFrame, segments: DataFrame, key: str, group: str, name: str) -> DataFrame:
+    """(key, name, distance): for each point (group, x, y) the nearest segment (group, name, x1, y1, x2, y2) of its group.
+
+    The point is projected on the segment's line and held within its ends; ties go to the smallest name. Groups are
+    scenes, of a bounded number of segments.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    distance = F.sqrt((F.col("x") - F.col("x1") - t * dx) ** 2 + (F.col("y") - F.col("y1") - t * dy) ** 2)
+    best = points.join(segments, group).groupBy(key).agg(F.min(F.struct(distance.alias("distance"), name)).alias("m"))
+    return best.select(key, f"m.{name}", "m.distance")
+
+
+def best_support(pieces: DataFrame, group: str, most_gap: float) -> DataFrame:
+    """(id, support, gap): what each piece (group, id, x, y, width, depth, bottom, top, shell) of a scene rests on.
+
+    Of the pieces that aren't shell and hold its centre in their footprint, the one whose top is nearest to its
+    underside, within `most_gap`; the highest, then the smallest id, on ties. Without one, null: it stands on the floor.
+    """
+    under = pieces.filter("not shell").select(group, F.col("id").alias("support"), *[F.col(c).alias(f"s_{c}") for c in ("x", "y", "width", "depth", "top")])
+    holds = (F.abs(F.col("x") - F.col("s_x")) <= F.col("s_width") / 2) & (F.abs(F.col("y") - F.col("s_y")) <= F.col("s_depth") / 2) & (F.col("id") != F.col("support"))
+    gap = F.col("bottom") - F.col("s_top")
+    near = pieces.join(under, group).filter(holds & (F.abs(gap) <= most_gap)).withColumn("gap", gap)
+    best = near.groupBy("id").agg(F.min_by(F.struct("support", "gap"), F.struct(F.round(F.abs("gap"), 9), -F.col("s_top"), "support")).alias("b"))
+    return pieces.select("id").join(best, "id", "left").select("id", "b.support", "b.gap")
+
+
+def directions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """`a` (key, x, y, z) against `b` by key: distance, the point between, and which way `b` lies in words.
+
+    Words go by the larger difference on the floor: left, right, front or behind; within a centimetre, here.
+    """
+    other = b.select(key, *[F.col(c).alias(f"o_{c}") for c in "xyz"])
+    d = {c: F.col(f"o_{c}") - F.col(c) for c in "xyz"}
+    side = F.when(F.abs(d["x"]) >= F.abs(d["y"]), F.when(d["x"] > 0, "right").otherwise("left")).otherwise(F.when(d["y"] > 0, "front").otherwise("behind"))
+    flat = F.sqrt(d["x"] ** 2 + d["y"] ** 2)
+    middle = F.struct(*[((F.col(c) + F.col(f"o_{c}")) / 2).alias(c) for c in "xyz"])
+    return a.join(other, key).select(key, F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2).alias("distance"), middle.alias("middle"), F.when(flat <= 0.01, "here").otherwise(side).alias("way"))

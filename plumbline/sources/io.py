@@ -68,8 +68,36 @@ def fixture_rooms(rooms_: DataFrame) -> DataFrame:
 
 def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     """One row per mesh part: path, part, transform, vertices, triangles. Documents that aren't meshes give none."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json(F.get_json_object("value", "$.parts"), MESH).alias("parts"))
-    return docs.select("path", F.posexplode("parts").alias("part", "p")).select("path", "part", "p.transform", "p.vertices", "p.triangles")
+    return mesh_parts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc")))
+
+
+def mesh_parts(docs: DataFrame) -> DataFrame:
+    """The parts of mesh documents (path, doc), as `read_mesh` gives them; parts are rows of their own from here on."""
+    parsed = docs.select("path", F.from_json(F.get_json_object("doc", "$.parts"), MESH).alias("parts"))
+    return parsed.select("path", F.posexplode("parts").alias("part", "p")).select("path", "part", "p.transform", "p.vertices", "p.triangles")
+
+
+def judged_meshes(docs: DataFrame, most_vertices: int, most_bytes: int) -> DataFrame:
+    """(path, vertices, triangles, refused) of mesh documents (path, doc): null, or the first reason to refuse one.
+
+    Too many bytes; no parts; a transform that isn't 16 numbers; coordinates or corners that aren't threes, or
+    missing; a triangle that names no vertex of its part; too many vertices.
+    """
+    parsed = docs.select("path", F.octet_length("doc").alias("bytes"), F.from_json(F.get_json_object("doc", "$.parts"), MESH).alias("parts"))
+    total = lambda c: F.aggregate(F.coalesce("parts", F.array().cast(MESH)), F.lit(0).cast("long"), lambda n, p: n + F.floor(F.greatest(F.coalesce(F.size(p[c]), F.lit(0)), F.lit(0)) / 3))
+    any_part = lambda f: F.coalesce(F.exists("parts", f), F.lit(False))
+    holes = lambda p, c: F.coalesce(p[c].isNull() | (F.size(p[c]) % 3 != 0) | F.exists(p[c], lambda v: v.isNull()), F.lit(True))
+    stray = lambda p: F.exists(p["triangles"], lambda t: (t < 0) | (t >= F.size(p["vertices"]) / 3))
+    refused = (
+        F.when(F.col("bytes") > most_bytes, "too many bytes")
+        .when(F.col("parts").isNull() | (F.size("parts") == 0), "no parts")
+        .when(any_part(lambda p: F.coalesce(F.size(p["transform"]) != 16, F.lit(True))), "a transform isn't 16 numbers")
+        .when(any_part(lambda p: holes(p, "vertices") | holes(p, "triangles")), "not threes of numbers")
+        .when(any_part(stray), "a triangle names no vertex")
+        .when(F.col("vertices") > most_vertices, "too many vertices")
+    )
+    counted = parsed.withColumns({"vertices": total("vertices"), "triangles": total("triangles")})
+    return counted.withColumn("refused", refused).select("path", "vertices", "triangles", "refused")
 
 
 def points(parts: DataFrame) -> DataFrame:
@@ -81,11 +109,23 @@ def points(parts: DataFrame) -> DataFrame:
     return rows.select("path", "part", "i", *[m.alias(n) for m, n in zip(moved, "xyz", strict=True)])
 
 
+POSE = "struct<version: int, frame_id: string, timestamp: double, transform: array<double>, intrinsics: array<double>>"
+
+
 def read_poses(spark: SparkSession, path: str, frames: DataFrame) -> DataFrame:
-    """Camera poses of the wanted frames, in order of time; the frame_id joins both."""
-    schema = "frame_id string, timestamp double, transform array<double>, intrinsics array<double>"
-    poses = spark.read.schema(schema).json(path, multiLine=True)
-    return poses.join(frames.select("frame_id").distinct(), "frame_id", "left_semi").orderBy("timestamp", "frame_id")
+    """Camera poses of the wanted frames, in order of time."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    return poses(docs, frames).orderBy("timestamp", "frame_id")
+
+
+def poses(docs: DataFrame, frames: DataFrame, versions: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Poses of documents (doc), arrays of them: those of the wanted frames (frame_id) that can be projected.
+
+    A pose needs a matrix of 16 numbers, and a version, 1 if it names none, that is known.
+    """
+    rows = docs.select(F.inline(F.from_json("doc", f"array<{POSE}>")))
+    fit = F.coalesce("version", F.lit(1)).isin(*versions) & (F.size("transform") == 16)
+    return rows.filter(fit).join(frames.select("frame_id").distinct(), "frame_id", "left_semi").select("frame_id", "timestamp", "transform", "intrinsics")
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:

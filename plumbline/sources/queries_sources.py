@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import rel
 from plumbline.registry import query
 from plumbline.sources import io
 from plumbline.tables import table
@@ -61,3 +62,55 @@ def fixture_rooms(spark, sf_dir):
     """The fixture room for every customer, its ids from the room and the piece's name."""
     made = io.fixture_rooms(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("room")))
     return made.groupBy("room").agg(F.count_distinct("id").alias("pieces"), F.count_if(F.col("kind") == "wall").alias("walls"), F.round(F.sum("w"), 6).alias("widths"))
+
+
+def _meshes(spark, sf_dir):
+    """A mesh document for each part: as many vertices as its size, and a fault of each kind in some."""
+    k, n = F.col("p_partkey"), F.col("p_size") + 2
+    vertices = F.transform(F.sequence(F.lit(0), (3 * n - 1).cast("int")), lambda i: (i % 7 + k % 5) / 4)
+    flat = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) if i != 12 else (k % 3).cast("double") for i in range(16)])
+    triangles = F.array(F.lit(0), F.lit(1), F.when(k % 17 == 3, n).otherwise(n - 1).cast("int"))
+    one = F.struct(F.when(k % 17 == 1, F.slice(flat, 1, 12)).otherwise(flat).alias("transform"), F.when(k % 17 == 2, F.slice(vertices, 1, 4)).otherwise(vertices).alias("vertices"), triangles.alias("triangles"))
+    doc = F.when(k % 17 == 0, F.lit('{"points": []}')).otherwise(F.to_json(F.struct(F.array(one, one).alias("parts"))))
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("path"), doc.alias("doc"))
+
+
+@query("mesh_points", """SELECT p_partkey AS k, 2 * (p_size + 2)::BIGINT AS n, round(2 * (SELECT sum((i * 3 % 7 + p_partkey % 5) / 4 + p_partkey % 3) FROM range(p_size + 2) t(i)), 6) AS x FROM part WHERE p_partkey % 17 NOT IN (0, 1, 2)""")
+def mesh_points(spark, sf_dir):
+    """Points of meshes, moved by their parts' transforms."""
+    parts = io.mesh_parts(_meshes(spark, sf_dir)).filter("size(transform) = 16 and size(vertices) % 3 = 0")
+    return io.points(parts).groupBy(F.col("path").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("x"))
+
+
+@query("judged_meshes", """SELECT p_partkey AS k, CASE p_partkey % 17 WHEN 0 THEN 'no parts' WHEN 1 THEN 'a transform isn''t 16 numbers' WHEN 2 THEN 'not threes of numbers' WHEN 3 THEN 'a triangle names no vertex' ELSE CASE WHEN 2 * (p_size + 2) > 80 THEN 'too many vertices' END END AS refused FROM part""")
+def judged_meshes(spark, sf_dir):
+    """Meshes by shape and size, refused with a reason."""
+    return io.judged_meshes(_meshes(spark, sf_dir), 80, 1_000_000).select(F.col("path").cast("long").alias("k"), "refused")
+
+
+@query("wanted_poses", """SELECT 'f' || e AS frame_id, e * 2.0::DOUBLE AS "timestamp" FROM (SELECT event_id AS e FROM events) WHERE e % 3 = 0 AND e % 7 <> 0 AND e % 5 <> 0""")
+def wanted_poses(spark, sf_dir):
+    """Poses of the wanted frames; unknown versions and short matrices are left out."""
+    e = F.col("event_id")
+    pose = F.struct(
+        F.when(e % 7 == 0, 9).when(e % 2 == 0, 2).alias("version"), F.concat(F.lit("f"), e.cast("string")).alias("frame_id"), (e * 2.0).alias("timestamp"), F.array_repeat(F.lit(0.0), F.when(e % 5 == 0, 12).otherwise(16)).alias("transform")
+    )
+    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.collect_list(pose)).alias("doc"))
+    frames = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("f"), e.cast("string")).alias("frame_id"))
+    return io.poses(docs, frames).select("frame_id", "timestamp")
+
+
+@query("cache_digests", """SELECT user_id, sha256(string_agg(row, chr(10) ORDER BY row)) AS fingerprint FROM (SELECT user_id, concat_ws('|', event_id, sha256(event_type)) AS row FROM events) GROUP BY user_id""")
+def cache_digests(spark, sf_dir):
+    """The digest of all answers stored for a walk's photos, whatever their order."""
+    row = F.concat_ws("|", "event_id", F.sha2("event_type", 256))
+    return rel.fingerprint(table(spark, sf_dir, "events"), ["user_id"], row)
+
+
+@query("manifest_hashes", """SELECT n_nationkey, sha256(string_agg(row, chr(10) ORDER BY row)) AS fingerprint FROM (SELECT n_nationkey, concat_ws('|', 'customer', c_custkey) AS row FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, concat_ws('|', 'supplier', s_suppkey) FROM nation JOIN supplier ON s_nationkey = n_nationkey) GROUP BY n_nationkey""")
+def manifest_hashes(spark, sf_dir):
+    """A manifest's rows, one for each requirement and item, and their hash."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("item"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.lit("supplier"), "s_suppkey")
+    both = table(spark, sf_dir, "nation").select("n_nationkey").join(c.union(s), "n_nationkey")
+    return rel.fingerprint(both, ["n_nationkey"], F.concat_ws("|", "kind", "item"))

@@ -118,3 +118,69 @@ def versions(evidence: DataFrame, key: str, at: str, item: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(at, item)
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     return evidence.select(key, F.row_number().over(w).alias("version"), at, F.array_join(F.array_sort(F.collect_set(item).over(so_far)), ",").alias("items"))
+
+
+def claims(jobs: DataFrame, workers: DataFrame, lane: str, order: list[str]) -> DataFrame:
+    """(job, worker): each worker (lane, worker) claims one queued job of its lane, and no job is claimed twice.
+
+    Jobs and workers of a lane are numbered in order, and equal numbers meet.
+    """
+    number = lambda by: F.row_number().over(W.partitionBy(lane).orderBy(*by))
+    free = workers.withColumn("_place", number(["worker"]))
+    most = free.groupBy(lane).agg(F.max("_place").alias("_most"))
+    queued = jobs.filter("state = 'queued'").withColumn("_place", number(order)).join(most, lane).filter("_place <= _most")
+    return queued.join(free, [lane, "_place"]).select("job", "worker")
+
+
+def recovered(jobs: DataFrame, most: int) -> DataFrame:
+    """`jobs` after a restart: those that ran are interrupted once more, and fail at `most`, or wait in the queue again."""
+    ran = F.col("state") == "running"
+    times = F.col("interruptions") + F.when(ran, 1).otherwise(0)
+    return jobs.withColumns({"interruptions": times, "state": F.when(ran & (times >= most), "failed").when(ran, "queued").otherwise(F.col("state"))})
+
+
+def backoff(failures: Column, first: float, most: float) -> Column:
+    """Seconds to wait after so many failures in a row: none, then `first`, doubled each time, `most` at most."""
+    return F.when(failures < 1, 0.0).otherwise(F.least(F.lit(most), first * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(60)))))
+
+
+def overdue(jobs: DataFrame, now: Column, deadlines: dict[str, float]) -> DataFrame:
+    """Running jobs (kind, started) past their kind's deadline in seconds; a kind without one is never overdue."""
+    limit = F.create_map(*[x for k, v in deadlines.items() for x in (F.lit(k), F.lit(float(v)))])
+    ran = (F.unix_micros(now) - F.unix_micros("started")) / 1e6
+    return jobs.filter((F.col("state") == "running") & (ran > F.try_element_at(limit, F.col("kind"))))
+
+
+def swept(rows: DataFrame, now: Column, keep_days: int, remind_days: int) -> DataFrame:
+    """`rows` (opened, reminded) with action: delete once `keep_days` have passed, remind once `remind_days` before that, else keep."""
+    age = (F.unix_micros(now) - F.unix_micros("opened")) / 86_400e6
+    due = (age >= keep_days - remind_days) & (F.col("reminded").isNull() | (F.col("reminded") < F.col("opened")))
+    return rows.withColumn("action", F.when(age >= keep_days, "delete").when(due, "remind").otherwise("keep"))
+
+
+def reserved(requests: DataFrame, key: str, order: str, size: str, most: int, most_bytes: int) -> DataFrame:
+    """(key, order, admitted): requests in order, while those admitted are fewer than `most` and fit into `most_bytes`.
+
+    A refused request reserves nothing, so a smaller one after it may be admitted. State is a count and a sum.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+
+    def admit(state: list[int], row) -> tuple:
+        fits = state[0] < most and state[1] + getattr(row, size) <= most_bytes
+        if fits:
+            state[:] = [state[0] + 1, state[1] + getattr(row, size)]
+        return getattr(row, key), getattr(row, order), fits
+
+    return in_order(requests, key, [order], lambda: [0, 0], admit, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean")
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, at: str, within: str, watermark: str = "0 seconds") -> DataFrame:
+    """Pairs of an event of `first` and one of `then` (key, id, at) of the same key, at most `within` later, or at once.
+
+    Both sides may be streams: with watermarks, Spark drops state that can't match any more.
+    """
+    marked = lambda df: df.withWatermark(at, watermark) if df.isStreaming else df
+    a = marked(first).select(F.col(key).alias("key"), F.col("id").alias("first"), F.col(at).alias("first_at"))
+    b = marked(then).select(F.col(key).alias("then_key"), F.col("id").alias("then"), F.col(at).alias("then_at"))
+    near = (F.col("key") == F.col("then_key")) & (F.col("then_at") >= F.col("first_at")) & (F.col("then_at") <= F.col("first_at") + F.expr(f"interval {within}"))
+    return a.join(b, near).select("key", "first", "then", "first_at", "then_at")
