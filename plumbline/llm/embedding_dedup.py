@@ -55,6 +55,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 def _bucket_links(vectors: DataFrame, bits: int, passes: int, threshold: float) -> DataFrame:
     """Links (a, b) that unite what all passes verify."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
     def keyed(with_vectors: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +68,7 @@ def _bucket_links(vectors: DataFrame, bits: int, passes: int, threshold: float)
                         made = {"run": p * 65_536 + dim, "bucket": bucket.astype(np.int64)}
                         yield pd.DataFrame(made | {c: same[c] for c in ("vec_id", "embedding")} if with_vectors else made)
 
-        return vectors.mapInPandas(run, "run int, bucket long" + ", vec_id long, embedding array<float>" * with_vectors)
+        return vectors.mapInPandas(run, "run int, bucket long" + f", vec_id long, embedding {kind}" * with_vectors)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -147,7 +148,7 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
                 core = (np.arccos(np.clip(cos, -1, 1)) <= half) & (size > 1e-9)
                 yield rows.drop(columns="centre").assign(core=core)
 
-    schema = "vec_id long, fp long, embedding array<float>, dim int, component_id long"
+    schema = f"vec_id long, fp long, embedding {members.schema['embedding'].dataType.simpleString()}, dim int, component_id long"
     with_core = cut(
         members.join(_centres(members), ["component_id", "dim"])
         .select("vec_id", "fp", "embedding", "dim", "component_id", "centre")
@@ -201,9 +202,11 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, miss: float = 0.002) -> DataFrame:
     """Every row of `vectors` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    # Doubles stay doubles; anything else is at most a float.
+    kind = "array<double>" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "array<float>"
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("embedding").cast(kind).alias("embedding"),
         F.xxhash64("embedding").alias("fp"),
     )
     sound = F.expr(
