@@ -110,7 +110,7 @@ def picked_frames(spark, sf_dir):
 
 @query("solid_kernels")
 def solid_kernels(spark, sf_dir):
-    """Kernels over the points of each label."""
+    """Kernels over the points of each label."""
 
     def kernel(pdf):
         p = np.stack(pdf.sort_values("vec_id")["p"].to_numpy()).astype(float)

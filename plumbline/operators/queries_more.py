@@ -58,7 +58,7 @@ def question_topics(spark, sf_dir):
 
 @query("markings", """SELECT p_partkey, CASE WHEN min(least(p_size / 50.0, 1)) >= 0.6 THEN 'measured' ELSE 'low' END AS quality, count(*) AS n FROM part GROUP BY p_partkey""")
 def markings(spark, sf_dir):
-    """Text on a piece, trusted from a confidence of 0.6."""
+    """A piece's confidence, trusted from 0.6."""
     by = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.min(F.least(F.col("p_size") / 50.0, F.lit(1.0))).alias("c"), F.count("*").alias("n"))
     return by.select("p_partkey", F.when(F.col("c") >= 0.6, "measured").otherwise("low").alias("quality"), "n")
 
@@ -73,7 +73,7 @@ def free_corridors(spark, sf_dir):
 
 @query("positions_in_words", """SELECT p_partkey, CASE WHEN p_size < 17 THEN 'left' WHEN p_size > 34 THEN 'right' ELSE 'middle' END || ' ' || CASE WHEN p_partkey % 80 < 27 THEN 'front' WHEN p_partkey % 80 > 53 THEN 'back' ELSE 'middle' END AS words FROM part""")
 def positions_in_words(spark, sf_dir):
-    """Q04."""
+    """Words for thirds of an axis."""
     third = lambda v, a, b, low, high: F.when(v < a, low).when(v > b, high).otherwise("middle")
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", third(F.col("p_size"), 17, 34, "left", "right"), third(F.col("p_partkey") % 80, 27, 53, "front", "back")).alias("words"))
 
@@ -81,7 +81,7 @@ def positions_in_words(spark, sf_dir):
 @query("answer_names_known", """SELECT doc_id, count(*) FILTER (WHERE w NOT IN ('the', 'of', 'and', 'to', 'in')) AS n_unknown, count(*) FILTER (WHERE w NOT IN ('the', 'of', 'and', 'to', 'in')) = 0 AS grounded
     FROM (SELECT doc_id, unnest(list_concat(['the'], list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> ''))) AS w FROM documents) GROUP BY doc_id""")
 def answer_names_known(spark, sf_dir):
-    """Words of a whole text that aren't among the known names."""
+    """Q10: words of a whole text that aren't among the known names."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0b\\x0c\\r]+"), lambda w: w != "")
     unknown = F.size(F.filter(words, lambda w: ~w.isin("the", "of", "and", "to", "in")))
     return table(spark, sf_dir, "documents").select("doc_id", unknown.cast("long").alias("n_unknown"), (unknown == 0).alias("grounded"))

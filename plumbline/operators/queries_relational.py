@@ -384,20 +384,20 @@ def top_orders(spark, sf_dir):
 
 @query("set_union", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_union(spark, sf_dir):
-    """U01."""
+    """U02."""
     a, b = _sides(spark, sf_dir)
     return a.union(b).distinct()
 
 
 @query("set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_difference(spark, sf_dir):
-    """U03."""
+    """U01, U03."""
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("set_intersection", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_intersection(spark, sf_dir):
-    """U02."""
+    """U03."""
     a, b = _sides(spark, sf_dir)
     return a.intersect(b)
 

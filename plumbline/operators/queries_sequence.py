@@ -139,14 +139,14 @@ def unit_verdicts(spark, sf_dir):
 @query("sheet_predicates", """SELECT p_partkey, d[1] <= 0.05 AND d[2] > 0.05 AND (d[2] * d[3] >= 1.0 OR d[3] >= 2.0) AS is_sheet FROM (SELECT p_partkey,
     list_sort([p_size / 1000.0::DOUBLE, p_retailprice / 1000.0::DOUBLE, (p_partkey % 30) / 10.0::DOUBLE]) AS d FROM part)""")
 def sheet_predicates(spark, sf_dir):
-    """F03 to F06."""
+    """F04."""
     is_sheet = X.sheet(F.col("p_size") / 1000, F.col("p_retailprice") / 1000, (F.col("p_partkey") % 30) / 10)
     return table(spark, sf_dir, "part").select("p_partkey", is_sheet.alias("is_sheet"))
 
 
 @query("floor_blockers", """SELECT p_partkey FROM part WHERE p_brand <> 'Brand#1' AND p_size > 0 AND p_partkey % 11 <> 0 AND (p_size / 25.0 + p_partkey % 4) > 0.25 * 0.0254 AND p_partkey % 4 < 27 * 0.0254""")
 def floor_blockers(spark, sf_dir):
-    """F08, F09, F07."""
+    """F09."""
     bottom = (F.col("p_partkey") % 4).cast("double")
     p = table(spark, sf_dir, "part")
     return p.filter(X.blocks_floor(F.col("p_brand") == "Brand#1", F.col("p_size"), F.col("p_partkey") % 11 == 0, bottom, bottom + F.col("p_size") / 25)).select("p_partkey")
@@ -154,13 +154,13 @@ def floor_blockers(spark, sf_dir):
 
 @query("word_search", """SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'thion') AND lang = 'en'""")
 def word_search(spark, sf_dir):
-    """F17, F18, F24."""
+    """F17."""
     return table(spark, sf_dir, "documents").filter(X.name_has_words(F.col("text"), "The thion") & (F.col("lang") == "en")).select("doc_id")
 
 
 @query("normalised_names", """SELECT p_partkey, list_sort(list_distinct(list_filter(string_split_regex(lower(translate(p_type, '-_', '  ')), '\\s+'), lambda x: x <> ''))).array_to_string(' ') AS words FROM part""")
 def normalised_names(spark, sf_dir):
-    """X01, F19."""
+    """X01."""
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.normalised(F.col("p_type")), " ").alias("words"))
 
 
@@ -188,7 +188,7 @@ def feet_and_inches(spark, sf_dir):
 
 @query("quantities_in_text", """SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?')) AS n, regexp_extract(text, '[0-9]+(\\.[0-9]+)?') AS first FROM documents WHERE regexp_matches(text, '[0-9]')""")
 def quantities_in_text(spark, sf_dir):
-    """X04, F12."""
+    """Numbers alone."""
     number = F.lit(r"([0-9]+(\.[0-9]+)?)")
     return table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]")).select(
         "doc_id", F.size(F.regexp_extract_all("text", number, F.lit(1))).cast("long").alias("n"), F.regexp_extract("text", r"([0-9]+(\.[0-9]+)?)", 1).alias("first")
@@ -198,7 +198,7 @@ def quantities_in_text(spark, sf_dir):
 @query("vector_maths", """SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 5) AS norm, round(embedding[1]::DOUBLE * embedding[4]::DOUBLE - embedding[2]::DOUBLE * embedding[3]::DOUBLE, 6) AS cross_z,
     round(degrees(atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE)), 4) AS heading FROM embeddings""")
 def vector_maths(spark, sf_dir):
-    """X07, X08, F26, F27."""
+    """X07, X08."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
     cross = F.col("e")[0] * F.col("e")[3] - F.col("e")[1] * F.col("e")[2]

@@ -154,20 +154,21 @@ def in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable, ste
     """What `step(state, row)` gives for the rows of each key in order, None for nothing; it may change the state.
 
     For operators whose next decision needs the one before. Many keys share a task, a key's rows stream through one,
-    and only its state is held.
+    and only its state is held. Rows with a null key are one key's.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
         at, state = None, None
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if state is None or getattr(row, key) != at:
-                    at, state = getattr(row, key), start()
+                now = None if pd.isna(getattr(row, key)) else getattr(row, key)
+                if state is None or now != at:
+                    at, state = now, start()
                 made = step(state, row)
                 if made is not None:
                     out.append(made)
             yield pd.DataFrame(out, columns=names)
 
-    return df.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

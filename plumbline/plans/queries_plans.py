@@ -84,7 +84,7 @@ def _elements(spark, sf_dir):
     SELECT rule_id, outcome, count(*) AS n, min(id) AS first FROM (SELECT rule_id, id, CASE WHEN least AND v - 0.5 >= t - 1e-6 THEN 'passes' WHEN least AND v + 0.5 < t - 1e-6 THEN 'problem' WHEN NOT least AND v + 0.5 <= t + 1e-6 THEN 'passes'
     WHEN NOT least AND v - 0.5 > t + 1e-6 THEN 'problem' ELSE 'question' END AS outcome FROM m) GROUP BY ALL UNION ALL SELECT 'grab_bars', 'question', 1, NULL""")
 def rule_outcomes(spark, sf_dir):
-    """Rules over measured elements."""
+    """Rules over measured elements."""
     found = rules.evaluate(_elements(spark, sf_dir), rules.RULES, uncertainty=0.5)
     return found.groupBy("rule_id", "outcome").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
@@ -100,14 +100,14 @@ def narrow_runs(spark, sf_dir):
 
 @query("compliance_matrix", f"""SELECT w AS label, count(*) AS n FROM (SELECT list_extract({WORDS}, (p_partkey % 9 + 1)::INT) AS w FROM part) GROUP BY w""")
 def compliance_matrix(spark, sf_dir):
-    """Elements of each kind."""
+    """Elements of each kind."""
     return _elements(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("arrangements", """SELECT p_brand, CASE WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'pair' WHEN rows = 1 THEN 'row' WHEN rows = 2 THEN 'two_rows' ELSE 'spread' END AS shape FROM (SELECT p_brand, count(*) AS n, max(g) + 1 AS rows FROM (
     SELECT p_brand, sum(new) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS g FROM (SELECT *, CASE WHEN p_size - lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) > 4 THEN 1 ELSE 0 END AS new FROM part)) GROUP BY p_brand)""")
 def arrangements(spark, sf_dir):
-    """The shape of a set of pieces from their chain groups."""
+    """W05, and part of Q05: the shape of a set of pieces from their chain groups."""
     groups = seq.chain_groups(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 4, ["p_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"), (F.max("group_id") + 1).alias("rows"))
     shape = F.when(F.col("n") == 1, "one").when(F.col("n") == 2, "pair").when(F.col("rows") == 1, "row").when(F.col("rows") == 2, "two_rows").otherwise("spread")
     return groups.select("p_brand", shape.alias("shape"))
