@@ -87,7 +87,7 @@ def tree_cycles(spark, sf_dir):
     return rel.cyclic(table(spark, sf_dir, "part").select(k.alias("child"), parent.cast("long").alias("parent")))
 
 
-@query("z_up_poses", """SELECT p_partkey, s AS scale, s * 0.0 AS m1, x AS m3, -z AS m7, y - 0.0 AS m11, x AS px, -z AS py, y - 1.5 AS pz FROM (SELECT p_partkey, p_size / 10 AS s, p_partkey % 60 / 10 AS x, p_partkey % 7 / 10 AS y, p_partkey % 80 / 10 AS z FROM part)""")
+@query("z_up_poses", """SELECT p_partkey, s AS scale, s * 0.0 AS m1, x AS m3, 0 - z AS m7, y - 0.0 AS m11, x AS px, 0 - z AS py, y - 1.5 AS pz FROM (SELECT p_partkey, p_size / 10 AS s, p_partkey % 60 / 10 AS x, p_partkey % 7 / 10 AS y, p_partkey % 80 / 10 AS z FROM part)""")
 def z_up_poses(spark, sf_dir):
     """poses and points of a capture with y up, in a frame with z up whose floor is at 0."""
     k, s = F.col("p_partkey"), F.col("p_size") / 10
@@ -178,11 +178,11 @@ def nearest_walls(spark, sf_dir):
 
 @query("best_supports", f"""WITH s AS (SELECT scene, id, x, y, width, depth, z - height / 2 AS bottom, z + height / 2 AS top, shell FROM ({PLACED})), n AS (SELECT a.id, b.id AS support, a.bottom - b.top AS gap, b.top AS t FROM s a JOIN s b ON a.scene = b.scene AND a.id <> b.id AND NOT b.shell
     AND abs(a.x - b.x) <= b.width / 2 AND abs(a.y - b.y) <= b.depth / 2 AND abs(a.bottom - b.top) <= 0.3), r AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(gap), 9), -t, support) = 1)
-    SELECT s.id, support, round(gap, 6) AS gap FROM s LEFT JOIN r USING (id)""")
+    SELECT s.id, support, round(gap, 6) + 0.0 AS gap FROM s LEFT JOIN r USING (id)""")
 def best_supports(spark, sf_dir):
     """What each piece rests on."""
     p = scene.predicates(_placed(spark, sf_dir)).withColumns({"bottom": F.col("z") - F.col("height") / 2, "top": F.col("z") + F.col("height") / 2})
-    return spatial.best_support(p, "scene", 0.3).select("id", "support", F.round("gap", 6).alias("gap"))
+    return spatial.best_support(p, "scene", 0.3).select("id", "support", (F.round("gap", 6) + F.lit(0.0)).alias("gap"))
 
 
 @query("measured_pieces", f"""WITH s AS (SELECT *, shell AND height <= 0.05 AS flat, shell AND height > 0.05 AS upright FROM ({PLACED})), w AS (SELECT scene, max(z + height / 2) AS t FROM s WHERE upright GROUP BY scene)

@@ -81,13 +81,13 @@ def system_tables(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(~F.col("p_name").like("red_w%")).select("p_partkey")
 
 
-@query("text_times", """SELECT event_id, epoch_us(ts) // 1000000 AS seconds, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000 * 1000) / 60e6, 3) AS age_minutes, ts + INTERVAL 14 DAY < TIMESTAMP '2024-02-01' AS expired FROM events""")
+@query("text_times", """SELECT event_id, epoch_us(ts) // 1000000 AS seconds, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000 * 1000) / 60e6, 6) AS age_minutes, ts + INTERVAL 14 DAY < TIMESTAMP '2024-02-01' AS expired FROM events""")
 def text_times(spark, sf_dir):
     """ISO 8601 text as times: seconds, age in minutes, and whether a fortnight has passed."""
     at = F.to_timestamp(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
     now = F.lit("2024-02-01").cast("timestamp")
     e = table(spark, sf_dir, "events").select("event_id", at.alias("at"))
-    return e.select("event_id", F.unix_seconds("at").alias("seconds"), F.round((F.unix_micros(now) - F.unix_micros("at")) / 60e6, 3).alias("age_minutes"), (F.col("at") + F.expr("interval 14 days") < now).alias("expired"))
+    return e.select("event_id", F.unix_seconds("at").alias("seconds"), F.round((F.unix_micros(now) - F.unix_micros("at")) / 60e6, 6).alias("age_minutes"), (F.col("at") + F.expr("interval 14 days") < now).alias("expired"))
 
 
 @query("affine_sample", """WITH n AS (SELECT count(*) AS n FROM customer), m AS (SELECT n, (SELECT min(i) FROM range(7, 1000) t(i) WHERE gcd(i, n) = 1) AS m FROM n) SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT (i * m + 3) % n FROM m, range(20) t(i))""")

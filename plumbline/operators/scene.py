@@ -77,7 +77,7 @@ def pose_to_z_up(columns: Column) -> Column:
 
 def into_room(x: Column, y: Column, z: Column, floor: Column) -> Column:
     """A point of a capture with y up in the room's frame, whose floor, at height `floor` there, is at 0."""
-    return F.struct(x.alias("x"), (-z).alias("y"), (y - floor).alias("z"))
+    return F.struct(x.alias("x"), (F.lit(0.0) - z).alias("y"), (y - floor).alias("z"))
 
 
 def joined_meshes(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
