@@ -59,7 +59,8 @@ def word_counts(docs: DataFrame, least_length: int = 6, least_count: int = 5) ->
                 if len(held) > HELD:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     named = texts(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
     counts = named.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
