@@ -69,15 +69,6 @@ def summary(cp: np.ndarray) -> tuple[list[int], list[int], list[bool]]:
     return ends, counts, marks
 
 
-def compose(f: tuple, g: tuple) -> tuple[list[int], list[int], list[bool]]:
-    """The function of a chunk of function `f` followed by one of function `g`."""
-    return (
-        [g[0][f[0][s]] for s in STATES],
-        [f[1][s] + g[1][f[0][s]] for s in STATES],
-        [bool(f[2][s] or g[2][f[0][s]]) for s in STATES],
-    )
-
-
 def _place(cp: np.ndarray, entry: int, rank: int) -> int:
     """Where token `rank`, from 0, of those that begin in the chunk begins; the chunk's end if there is none."""
     at = np.flatnonzero(_begins(cp, entry))
@@ -109,44 +100,30 @@ def _places(text: pd.Series, entry: pd.Series, ranks: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _function(row) -> tuple:
-    return tuple(list(row[c]) for c in ("ends", "counts", "marks"))
+#: A run of functions fs in order: as one function, and what holds where each is entered.
+COMPOSED = """aggregate(fs, named_struct('ends', array(0, 1, 2, 3), 'counts', array(0L, 0L, 0L, 0L), 'marks', array(false, false, false, false)),
+    (f, g) -> named_struct('ends', transform(f.ends, e -> g.ends[e]), 'counts', zip_with(f.counts, f.ends, (n, e) -> n + g.counts[e]),
+                           'marks', zip_with(f.marks, f.ends, (m, e) -> m or g.marks[e])))"""
+ENTERED = """aggregate(fs, named_struct('entry', entry0, 'before', before0, 'seen', seen0, 'all', cast(array() as array<struct<pos: bigint, entry: int, before: bigint, seen: boolean>>)),
+    (at, g) -> named_struct('entry', g.ends[at.entry], 'before', at.before + g.counts[at.entry], 'seen', at.seen or g.marks[at.entry],
+                            'all', concat(at.all, array(named_struct('pos', g.pos, 'entry', at.entry, 'before', at.before, 'seen', at.seen)))), at -> at.all)"""
 
 
 def entered(functions: DataFrame, fan: int = FAN) -> DataFrame:
-    """`functions` (key, pos, ends, counts, marks) with entry, before and seen: what holds where a chunk is entered.
+    """key, pos, entry, before and seen of `functions` (key, pos, ends, counts, marks): what holds where a chunk is entered.
 
     Runs of `fan` chunks are composed; what holds at the entry of a run comes from the same scan over runs.
     """
-    last, columns = functions.agg(F.max("pos")).first()[0], functions.columns
-    keyed = functions.withColumn("run", F.floor(F.col("pos") / fan))
+    last = functions.agg(F.max("pos")).first()[0]
+    runs = functions.groupBy("key", F.floor(F.col("pos") / fan).alias("run")).agg(F.array_sort(F.collect_list(F.struct("pos", "ends", "counts", "marks"))).alias("fs"))
+    start = {"entry0": F.lit(OUT), "before0": F.lit(0).cast("long"), "seen0": F.lit(False)}
     if last is None or last < fan:
-        started = keyed.withColumns({"entry0": F.lit(OUT), "before0": F.lit(0).cast("long"), "seen0": F.lit(False)})
+        started = runs.withColumns(start)
     else:
-        kind = functions.schema["key"].dataType.simpleString()
-
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("pos")
-            f = (list(STATES), [0] * 4, [False] * 4)
-            for _, row in rows.iterrows():
-                f = compose(f, _function(row))
-            return pd.DataFrame({"key": [rows["key"].iloc[0]], "pos": [rows["run"].iloc[0]], "ends": [f[0]], "counts": [f[1]], "marks": [f[2]]})
-
-        runs = cut(keyed.groupBy("key", "run").applyInPandas(whole, f"key {kind}, pos long, {FUNCTION}"))
-        above = entered(runs, fan).select("key", F.col("pos").alias("run"), F.col("entry").alias("entry0"), F.col("before").alias("before0"), F.col("seen").alias("seen0"))
-        started = keyed.join(above, ["key", "run"])
-
-    def down(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        entry, before, seen, out = int(rows["entry0"][0]), int(rows["before0"][0]), bool(rows["seen0"][0]), []
-        for _, row in rows.iterrows():
-            out.append((entry, before, seen))
-            f = _function(row)
-            entry, before, seen = int(f[0][entry]), before + int(f[1][entry]), bool(seen or f[2][entry])
-        return rows.assign(entry=[o[0] for o in out], before=[o[1] for o in out], seen=[o[2] for o in out])[[*columns, "entry", "before", "seen"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in functions.schema.fields) + ", entry int, before long, seen boolean"
-    return started.groupBy("key", "run").applyInPandas(down, schema)
+        runs = cut(runs)
+        above = entered(runs.select("key", F.col("run").alias("pos"), F.expr(COMPOSED).alias("f")).select("key", "pos", "f.*"), fan)
+        started = runs.join(above.select("key", F.col("pos").alias("run"), *[F.col(c[:-1]).alias(c) for c in start]), ["key", "run"])
+    return started.select("key", F.explode(F.expr(ENTERED)).alias("x")).select("key", "x.*")
 
 
 def _draws(docs: DataFrame) -> DataFrame:
@@ -165,8 +142,10 @@ def _distributed(long: DataFrame, chunk: int, fan: int) -> DataFrame:
         "key", "pos", F.substring(F.col("text"), (F.col("pos") * chunk + 1).cast("int"), F.lit(chunk)).alias("part")
     )
     dealt = cut(chunks.repartition(parts(spark), "key", "pos").withColumn("f", F.pandas_udf(_summaries, FUNCTION)("part")))
-    places = cut(entered(dealt.select("key", "pos", "f.*"), fan).withColumn("own", F.col("counts")[F.col("entry")]))
-    whole = places.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.col("seen") | F.col("marks")[F.col("entry")]).alias("marked"))
+    functions = dealt.select("key", "pos", "f.*")
+    at = F.col("entry")
+    places = cut(functions.join(entered(functions, fan), ["key", "pos"]).select("key", "pos", "entry", "before", F.col("counts")[at].alias("own"), (F.col("seen") | F.col("marks")[at]).alias("marked")))
+    whole = places.groupBy("key").agg(F.sum("own").alias("n"), F.max("marked").alias("marked"))
     asked = (
         keyed.select("doc_id", "key", "h1", "h2").distinct().join(whole, "key")
         .withColumns({"a": F.col("h1") % (F.col("n") + 1), "b": F.col("h2") % (F.col("n") + 1)})
