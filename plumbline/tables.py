@@ -1,4 +1,6 @@
-"""Reading the driver's tables through Spark's readers only."""
+"""Reading the driver's tables through Spark's readers only, and cutting lineage in shared storage."""
+
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,5 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut where the session has a folder for that; as it is elsewhere."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """`df` with its lineage cut, in the shared folder that the session names in spark.checkpoint.dir.
+
+    A session on a cluster that names none is an error: rounds would compute all earlier rounds again. Only a local
+    session (tests) gets a temporary folder. Set spark.cleaner.referenceTracking.cleanCheckpoints to have checkpoints
+    deleted once nothing refers to them.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
