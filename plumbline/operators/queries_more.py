@@ -146,25 +146,6 @@ def kiosk_faces(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(both, "either").when(X.meets(long, "at_least", F.lit(30.0)), "one").otherwise("none").alias("fits"))
 
 
-@query("cross_walk_solids")
-def cross_walk_solids(spark, sf_dir):
-    """Solids in order of quality and size; one that is a kept solid from another walk is dropped for it."""
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 30).alias("room"), F.col("p_partkey").alias("solid"), (F.col("p_partkey") % 2).alias("walk"), (F.col("p_partkey") % 3).alias("rank"), F.col("p_size").cast("double").alias("volume"), ((F.col("p_retailprice") - 900) / 20).alias("x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "volume", "solid"], ascending=[True, False, True])
-        kept: list[tuple] = []
-        out = []
-        for r in pdf.itertuples(index=False):
-            same = next((k for k in kept if k[1] != r.walk and abs(k[2] - r.x) <= 1.0), None)
-            if same is None:
-                kept.append((r.solid, r.walk, r.x))
-            out.append((r.room, r.solid, same[0] if same else r.solid))
-        return pd.DataFrame(out, columns=["room", "solid", "kept_as"])
-
-    return p.groupBy("room").applyInPandas(run, "room long, solid long, kept_as long")
-
-
 @query("seen_floor")
 def seen_floor(spark, sf_dir):
     """Cells of a floor that points were seen over, their regions, and a fixed ray's hit of a fixed box."""

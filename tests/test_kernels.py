@@ -3,7 +3,6 @@ import itertools
 import numpy as np
 import pytest
 
-from plumbline.operators import greedy
 from plumbline.operators import kernels as K
 
 
@@ -45,14 +44,3 @@ def test_raster_square_ray_and_isovist():
     assert K.ray_box(np.zeros(3), np.array([-1.0, 0, 0]), np.array([2.0, -1, -1]), np.array([3.0, 1, 1])) is None
     square = np.array([[-1, -1, 1, -1], [1, -1, 1, 1], [1, 1, -1, 1], [-1, 1, -1, -1]], float)
     assert K.isovist(np.zeros(2), square) == pytest.approx(4.0, rel=0.01)
-
-
-def test_order_dependent_choices():
-    at, x = np.array([0, 0.2, 0.5, 3.6, 3.7]), np.array([[0.0], [5], [0.01], [0], [9]])
-    assert greedy.keep_after_last(at, x, 0.45, 3.0, 0.1).tolist() == [0, 3]
-    line = np.array([[0.0, 0], [0.4, 0], [1.1, 0], [0.1, 0]])
-    assert greedy.spaced_places(line, 1.0, from_last=True).tolist() == [0, 2, 3]
-    assert greedy.spaced_places(line, 1.0, from_last=False).tolist() == [0, 2]
-    there_and_back = np.array([[t, 0.0] for t in np.arange(0, 3, 0.25)] + [[3 - t, 0.05] for t in np.arange(0, 3, 0.25)])
-    place, angle = greedy.turn_place(there_and_back)
-    assert 10 <= place <= 13 and angle > 150
