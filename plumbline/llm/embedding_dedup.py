@@ -1,11 +1,14 @@
-"""Near-duplicate embeddings by passes of random hyperplanes.
-
-Each pass puts vectors of equal random hyperplane bits into one bucket, and compares all pairs of a bucket by cosine
-in double precision; large buckets are compared in tiles. Verified pairs are united across passes. A pair at the
-threshold shares a bit with a chance that depends on its angle alone, so with the number of passes that follows from
-the number of bits it is missed with a chance of about `miss`, however the other vectors lie. The number of bits
-follows from the number of vectors, so that buckets of evenly spread vectors hold about `window` of them; those of
-crowded vectors hold more, and work there grows with their square. Copies of a vector enter once.
+"""Near-duplicate embeddings by sorted projection passes.
+
+Each pass orders vectors by a key, the concatenated bits of random hyperplanes, and compares each with the `window`
+that follow it, by cosine in double precision. A run of equal keys longer than a window is compared whole beside
+them, in tiles if it is large. Verified pairs are united across passes. Vectors of equal keys always meet, and a pair
+at the threshold shares a bit with a chance that depends on its angle alone, so with the number of passes that
+follows from the number of bits it is missed with a chance of `miss` at the most, however the other vectors lie;
+neighbours of unequal keys are found besides. The number of bits follows from the number of vectors, so that a
+quarter of a window shares a key where vectors are evenly spread. Windows end with the vectors that share all but the
+last `LAST` bits, or all bits where more than `CROWD` vectors do that, so a task's rows are bounded. Work in a long run
+of crowded vectors grows with its square. Copies of a vector enter once.
 
 Links are then counted exactly inside each component. Vectors within half the threshold's angle of the
 component's mean direction are linked with each other for certain, by the triangle inequality, and are only
@@ -29,15 +32,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, cut, parts
 
-WINDOW = 64
+WINDOW = 256
 TILE = 1024
+#: Rows whose windows a task compares at once; bits at the end of a key that windows reach across, and rows up to which they do.
+STEP, LAST, CROWD = 256, 6, 65_536
 #: Large buckets up to which their sizes are broadcast.
 MOST_LARGE = 100_000
 
 
 def bits_for(n: int, window: int) -> int:
-    """Bits after which evenly spread vectors leave about `window` in a bucket."""
-    return min(63, max(0, math.ceil(math.log2(max(1, n) / window))))
+    """Bits after which evenly spread vectors leave about a quarter of `window` with one key."""
+    return min(62, max(0, math.ceil(math.log2(max(1, n) * 4 / window))))
 
 
 def passes_for(n: int, threshold: float, window: int, miss: float) -> int:
@@ -53,7 +58,7 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bucket_links(vectors: DataFrame, bits: int, passes: int, threshold: float) -> DataFrame:
+def _pass_links(vectors: DataFrame, bits: int, passes: int, threshold: float, window: int) -> DataFrame:
     """Links (a, b) that unite what all passes verify."""
     kind = vectors.schema["embedding"].dataType.simpleString()
 
@@ -64,40 +69,55 @@ def _bucket_links(vectors: DataFrame, bits: int, passes: int, threshold: float)
                     x = _unit(same["embedding"])
                     for p in range(passes):
                         planes = np.random.default_rng([p, dim]).standard_normal((dim, bits))
-                        bucket = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                        made = {"run": p * 65_536 + dim, "bucket": bucket.astype(np.int64)}
+                        key = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                        made = {"run": p * 65_536 + dim, "key": key.astype(np.int64)}
                         yield pd.DataFrame(made | {c: same[c] for c in ("vec_id", "embedding")} if with_vectors else made)
 
-        return vectors.mapInPandas(run, "run int, bucket long" + f", vec_id long, embedding {kind}" * with_vectors)
+        return vectors.mapInPandas(run, "run int, key long" + f", vec_id long, embedding {kind}" * with_vectors)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            places = rows[["run", "bucket", "t1", "t2"]].to_numpy(np.int64)
+            places = rows[place].to_numpy(np.int64)
             starts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist()]
             rest = rows.iloc[starts[-1] :]
-            yield pd.DataFrame(
-                [link for s, e in zip(starts, starts[1:], strict=False) for link in _joined(rows.iloc[s:e], threshold)], columns=["a", "b"], dtype="int64"
-            )
+            found = [link for s, e in zip(starts, starts[1:], strict=False) for link in _compared(rows.iloc[s:e], threshold, window)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if rest is not None:
-            yield pd.DataFrame(_joined(rest, threshold), columns=["a", "b"], dtype="int64")
-
-    large = cut(keyed(False).groupBy("run", "bucket").count().filter(F.col("count") > TILE))
-    sizes = large if large.count() > MOST_LARGE else F.broadcast(large)
-    # A tile meets every tile of its bucket.
+            yield pd.DataFrame(_compared(rest, threshold, window), columns=["a", "b"], dtype="int64")
+
+    sizes = cut(keyed(False).groupBy("run", "key").count())
+    front = F.shiftright("key", LAST)
+    small = lambda df: df if df.count() > MOST_LARGE else F.broadcast(df)
+    long = small(cut(sizes.filter(F.col("count") > window)))
+    crowds = sizes.groupBy("run", front.alias("front")).agg(F.sum("count").alias("crowd")).filter(F.col("crowd") > CROWD)
+    known = keyed(True).withColumn("front", front).join(long, ["run", "key"], "left").join(small(cut(crowds)), ["run", "front"], "left")
+    # A tile of a long run meets every tile of it; other rows go where their windows lie, in the order of keys.
     spread = (
-        keyed(True).join(sizes, ["run", "bucket"], "left")
-        .withColumn("tiles", F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-        .withColumn("far", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .select("run", "bucket", F.least("own", "far").alias("t1"), F.greatest("own", "far").alias("t2"), "vec_id", "embedding")
+        known.withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        .withColumn("far", F.explode(F.expr("sequence(0, coalesce(tiles, 1) - 1)")))
+        .select(
+            "run",
+            F.when(F.col("tiles").isNotNull() | F.col("crowd").isNotNull(), F.col("key")).otherwise(F.col("front")).alias("block"),
+            F.when(F.col("tiles").isNotNull(), F.least("own", "far")).when(F.col("crowd").isNotNull(), F.lit(-2)).otherwise(F.lit(-1)).alias("t1"),
+            F.when(F.col("tiles").isNotNull(), F.greatest("own", "far")).otherwise(F.lit(-1)).alias("t2"),
+            "key", "vec_id", "embedding",
+        )
     )
-    place = ["run", "bucket", "t1", "t2"]
-    dealt = spread.repartition(max(parts(vectors.sparkSession), passes), *place).sortWithinPartitions(*place, "vec_id")
+    place = ["run", "block", "t1", "t2"]
+    dealt = spread.repartition(max(parts(vectors.sparkSession), passes), *place).sortWithinPartitions(*place, "key", "vec_id")
     return dealt.mapInPandas(meet, "a long, b long").distinct()
 
 
+def _compared(rows: pd.DataFrame, threshold: float, window: int) -> list[tuple[int, int]]:
+    """Links of a tile pair, or of the windows of rows in the order of keys."""
+    if rows["t1"].iloc[0] >= 0:
+        return _joined(rows, threshold)
+    return [link for s in range(0, len(rows), STEP) for link in _joined(rows.iloc[s : s + STEP + window], threshold)]
+
+
 def _joined(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
     """Links that unite the rows within the threshold of each other: from the first row of each group to the others."""
     if len(rows) < 2:
@@ -219,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = W
     )
     shared = cut(distinct.groupBy("fp", "embedding").agg(F.min("vec_id").alias("first")))
     n = shared.count()
-    found = _bucket_links(shared.select(F.col("first").alias("vec_id"), "embedding"), bits_for(n, window), passes_for(n, threshold, window, miss), threshold)
+    found = _pass_links(shared.select(F.col("first").alias("vec_id"), "embedding"), bits_for(n, window), passes_for(n, threshold, window, miss), threshold, window)
     copies = distinct.join(shared, ["fp", "embedding"]).filter("first <> vec_id").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
     links = cut(found.union(copies))
     named = cut(components(links).select(F.col("node").alias("vec_id"), "component_id"))
