@@ -61,14 +61,6 @@ def points_in_boxes(spark, sf_dir):
     return spatial.inside_boxes(_points(spark, sf_dir), boxes, "x", "y", 4.0).groupBy("box").agg(F.count("*").alias("n"), F.min("k").alias("first"))
 
 
-@query("trigger_join", """SELECT p_partkey, t.word FROM part JOIN (VALUES ('ring'), ('widget'), ('SMALL'), ('ECONOMY'), ('1')) t(word) ON contains(p_type, word) OR contains(p_name, word)""")
-def trigger_join(spark, sf_dir):
-    """A fixed list of words, expanded inside the row."""
-    words = F.array(*[F.lit(w) for w in ("ring", "widget", "SMALL", "ECONOMY", "1")])
-    fits = F.filter(words, lambda w: F.contains("p_type", w) | F.contains("p_name", w))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(fits).alias("word"))
-
-
 @query("route_screening", """SELECT a.n_nationkey AS origin, b.n_nationkey AS destination FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
 def route_screening(spark, sf_dir):
     """Ordered pairs inside a region; an error, not a cut, beyond the limit."""
