@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.registry import query
-from plumbline.streaming import jobs
+from plumbline.streaming import evidence, jobs
 from plumbline.tables import table
 
 
@@ -68,3 +68,13 @@ def due_bundles(spark, sf_dir):
 def evidence_versions(spark, sf_dir):
     """Late evidence makes a new version."""
     return jobs.versions(_events(spark, sf_dir), "user_id", "event_id", "event_type").select("user_id", "version", "event_id", "items")
+
+
+@query("late_evidence", """WITH e AS (SELECT user_id, event_type, ts, row_number() OVER w AS n, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS wait, epoch_us(lead(ts) OVER w) AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+    r AS (SELECT *, sum(CASE WHEN wait >= 259200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) AS run FROM e),
+    v AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY n) AS version, list_sort(list_distinct(list(event_type) OVER (PARTITION BY user_id, run ORDER BY n ROWS UNBOUNDED PRECEDING))).array_to_string(',') AS items FROM r)
+    SELECT user_id, 'version' AS kind, version, items, epoch_us(ts) AS at FROM v UNION ALL SELECT user_id, 'settled', version, items, epoch_us(ts) + 43200000000 FROM v WHERE coalesce(nxt, epoch_us(TIMESTAMP '2024-03-01')) - epoch_us(ts) >= 43200000000""")
+def late_evidence(spark, sf_dir):
+    """Versions of what a user has sent so far, those that half a day's quiet settles, and new bundles after three days'."""
+    found = evidence.closures(_events(spark, sf_dir), "user_id", "event_type", "ts", 43200.0, 259200.0, now="2024-03-01")
+    return found.select("user_id", "kind", "version", "items", F.unix_micros("at").alias("at"))
