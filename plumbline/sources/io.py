@@ -71,6 +71,19 @@ def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     return mesh_parts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc")))
 
 
+def read_mesh_parts(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """path, id, transform, vertices and triangles of each part of mesh files, a part at a time.
+
+    A part holds no object of its own, so each ends with the first closing brace: files are read as records that end
+    with one, by as many tasks as they have blocks, and no task holds more than a record. What isn't a part is left out;
+    a record of over `most_bytes` is an error. Ids must not hold braces.
+    """
+    record = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record"))
+    checked = F.when(F.octet_length("record") <= most_bytes, F.col("record")).otherwise(F.raise_error(F.lit("a mesh part of too many bytes")).cast("string"))
+    part = F.from_json(F.concat(F.lit("{"), F.substring_index(checked, "{", -1), F.lit("}")), MESH[6:-1])
+    return record.filter(F.contains("record", F.lit("{"))).select("path", part.alias("p")).filter("p.vertices is not null and p.triangles is not null").select("path", "p.*")
+
+
 def mesh_parts(docs: DataFrame) -> DataFrame:
     """The parts of mesh documents (path, doc), as `read_mesh` gives them; parts are rows of their own from here on."""
     parsed = docs.select("path", F.from_json(F.get_json_object("doc", "$.parts"), MESH).alias("parts"))
