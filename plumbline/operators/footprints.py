@@ -129,8 +129,8 @@ def near_segments(probes: DataFrame, segments: DataFrame, probe: str, segment: s
     """
     sound = lambda df: df.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in ("x1", "y1", "x2", "y2")))
     line = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("u"), F.col("y2").alias("v"))
-    asks = _crossed(sound(probes), cell, radius).select(*by, probe, "i", "j", line.alias("p"))
-    index = _crossed(sound(segments), cell, 0.0).select(*by, segment, "i", "j", line.alias("s"))
-    met = asks.join(index, [*by, "i", "j"]).select(*by, probe, segment, segment_distance(F.col("p"), F.col("s")).alias("distance"))
+    asks = _crossed(sound(probes), cell, radius).select(*by, probe, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_p"))
+    index = _crossed(sound(segments), cell, 0.0).select(*by, segment, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_s"))
+    met = asks.join(index, [*by, "_i", "_j"]).select(*by, probe, segment, segment_distance(F.col("_p"), F.col("_s")).alias("distance"))
     # A pair may meet in several cells.
     return met.filter(F.col("distance") <= radius).groupBy(*by, probe, segment).agg(F.min("distance").alias("distance"))

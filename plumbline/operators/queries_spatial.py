@@ -79,12 +79,12 @@ def voxel_first(spark, sf_dir):
 
 
 @query("nearest_fill", """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, vec_id % 3 = 0 AS seen FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, (abs(a.x - b.x), b.vec_id)) AS source FROM e a JOIN e b
-    ON a.label = b.label AND NOT a.seen AND b.seen AND abs(a.x - b.x) <= 0.05 GROUP BY a.vec_id""")
+    ON a.label = b.label AND NOT a.seen AND b.seen GROUP BY a.vec_id""")
 def nearest_fill(spark, sf_dir):
-    """The nearest observed value within reach."""
+    """The nearest observed value, however far."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    near = spatial.within(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 3 = 0"), "vec_id", ["x"], 0.05, group="label")
-    return near.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m")).select("vec_id", F.col("m.other").alias("source"))
+    near = spatial.nearest_of(e.filter("vec_id % 3 <> 0"), e.filter("vec_id % 3 = 0"), "vec_id", ["x"], "label", 0.01)
+    return near.select("vec_id", F.col("other").alias("source"))
 
 
 @query("image_overlap", """SELECT a.p_partkey, round(i / (aa + ab - i), 6) AS iou FROM (SELECT *, greatest(0, least(p_size + 10.0, 30) - greatest(p_size, 15.0)) * greatest(0, least(p_partkey % 20 + 8.0, 16) - greatest(p_partkey % 20, 6.0)) AS i, 80.0 AS aa, 150.0 AS ab FROM part) a WHERE i > 0""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import containment
 from plumbline.registry import query
 from plumbline.tables import table
 
@@ -38,11 +39,7 @@ def resolved_subjects(spark, sf_dir):
     asked = F.when(k % 4 == 0, "red").when(k % 4 == 1, "small ring").when(k % 4 == 2, "gizmo blue").otherwise("zz")
     q = table(spark, sf_dir, "orders").select(k.alias("q"), F.when(k % 3 == 0, F.col("o_custkey")).alias("pinned"), asked.alias("asked"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("name"))
-    fits = F.forall(F.split("asked", " "), lambda w: F.contains("name", w))
-    different = q.select("asked").distinct()
-    if different.count() > 10_000:
-        raise ValueError("too many different questions to broadcast")
-    by_words = p.join(F.broadcast(different), fits).groupBy("asked").agg(F.count("*").alias("m"), F.min("k").alias("least"))
+    by_words = p.join(containment.all_words_in(q, p, "asked", "name"), "name").groupBy("asked").agg(F.count("*").alias("m"), F.min("k").alias("least"))
     both = q.join(p.select("k"), F.col("k") == F.col("pinned"), "left").join(by_words, "asked", "left")
     has = F.col("k").isNotNull()
     return both.select("q", F.when(has, 1).otherwise(F.coalesce("m", F.lit(0))).cast("long").alias("n"), F.when(has, F.col("k")).otherwise(F.col("least")).alias("first"))

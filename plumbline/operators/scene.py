@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
+from plumbline.operators.containment import held_in
 
 #: Rotation between a frame with y up and one with z up, and back, as rows: fixed values.
 TO_Z_UP = ((1.0, 0.0, 0.0, 0.0), (0.0, 0.0, -1.0, 0.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0))
@@ -116,9 +117,13 @@ def texts_on(pieces: DataFrame, markings: DataFrame) -> DataFrame:
 def counted(pieces: DataFrame, asked: DataFrame) -> DataFrame:
     """asked, label, n and found for each word of `asked` (few): labels that hold it, or all labels where none does."""
     tally = pieces.groupBy("label").agg(F.count("*").alias("n"))
-    both = tally.join(F.broadcast(asked.distinct()), F.lit(True)).withColumn("fits", F.contains(F.lower("label"), F.lower("asked")))
-    any_fits = both.groupBy("asked").agg(F.bool_or("fits").alias("found"))
-    return both.join(any_fits, "asked").filter("fits or not found").select("asked", "label", "n", "found")
+    words = asked.select("asked").distinct().withColumn("_asked", F.lower("asked"))
+    held = held_in(words, tally.select(F.lower("label").alias("_label")), "_asked", "_label")
+    fits = words.join(held, "_asked").join(tally.withColumn("_label", F.lower("label")), "_label").select("asked", "label", "n", F.lit(True).alias("found"))
+    # A word that no label holds gets all labels: as many rows as there are, by definition.
+    rest = words.join(held, "_asked", "left_anti").filter("_asked <> ''").select("asked").crossJoin(tally).select("asked", "label", "n", F.lit(False).alias("found"))
+    every = words.filter("_asked = ''").select("asked").crossJoin(tally).select("asked", "label", "n", F.lit(True).alias("found"))
+    return fits.union(rest).union(every)
 
 
 def measured(pieces: DataFrame) -> DataFrame:

@@ -111,24 +111,40 @@ def running_totals(df: DataFrame, keys: Sequence[str], cell: str, order: str, va
     return placed.withColumns({name: F.col(f"_before_{c}") + F.sum(c).over(own) for c, name in values.items()}).drop(*[f"_before_{c}" for c in values])
 
 
-def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], cells: int = 1024) -> DataFrame:
+def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """(group, q): exact percentiles of the values that aren't null, interpolated between neighbours, an array a group.
 
-    Equal values are counted first; counts are then summed in order by cells between the group's least and largest
-    value, so no task holds all values of a group.
+    A sketch of each group gives two values that a percentile lies between, however values lie. Those below are
+    counted, and only those between are gathered, by value, and put in order. Should the sketch have been too far off
+    for some rank, the next round looks wider.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    # Written, so that a group of many values is split in the join.
-    ends = cut(counts.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total")))
-    cell = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")) * cells), F.lit(0))
-    placed = running_totals(counts.join(ends, group).withColumn("cell", cell), [group], "cell", value, {"n": "upto"})
-    found = []
-    for q in qs:
-        at = F.lit(q) * (F.col("total") - 1)
-        has = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-        low, high = (F.max(F.when(has(r), F.col(value))) for r in (F.floor(at), F.ceil(at)))
-        found.append(low + (high - low) * F.max(at - F.floor(at)))
-    return placed.groupBy(group).agg(F.array(*found).alias("q"))
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    n, reach = len(qs), 3 / accuracy
+    while True:
+        ends = [q + side * reach for q in qs for side in (-1, 1)]
+        sketch = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, e))) for e in ends]), accuracy)
+        inner = lambda i: F.lit(0.0 < ends[i] < 1.0)
+        found = rows.groupBy("_g").agg(sketch.alias("_p"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("_total"))
+        edges = [F.when(inner(i), F.col("_p")[i]).otherwise(F.col("_max" if i % 2 else "_min")) for i in range(2 * n)]
+        # Written, so that a group of many values is split in the join.
+        edges = cut(found.select(F.col("_g").alias("_of"), "_total", *[e.alias(f"_e{i}") for i, e in enumerate(edges)]))
+        placed = rows.join(edges, F.col("_g").eqNullSafe(F.col("_of")))
+        below = placed.groupBy("_g", "_total").agg(*[F.count_if(F.col("_v") < F.col(f"_e{2 * i}")).alias(f"_b{i}") for i in range(n)])
+        which = F.array_compact(F.array(*[F.when((F.col("_v") >= F.col(f"_e{2 * i}")) & (F.col("_v") <= F.col(f"_e{2 * i + 1}")), F.lit(i)) for i in range(n)]))
+        between = placed.select("_g", "_v", F.explode(which).alias("_i")).groupBy("_g", "_i", "_v").agg(F.count("*").alias("_n"))
+        before = F.coalesce(*[F.when(F.col("_i") == i, F.col(f"_b{i}")) for i in range(n)])
+        counts = between.join(below.withColumnRenamed("_g", "_of"), F.col("_g").eqNullSafe(F.col("_of")))
+        counts = counts.withColumn("_upto", before + F.sum("_n").over(W.partitionBy("_g", "_i").orderBy("_v")))
+        told = []
+        for i, q in enumerate(qs):
+            at = F.lit(q) * (F.col("_total") - 1)
+            has = lambda rank, i=i: (F.col("_i") == i) & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+            low, high = (F.max(F.when(has(r), F.col("_v"))) for r in (F.floor(at), F.ceil(at)))
+            told.append(low + (high - low) * F.max(at - F.floor(at)))
+        done = cut(counts.groupBy("_g").agg(F.array(*told).alias("q")).select(F.col("_g").alias(group), "q"))
+        if reach >= 1 or done.filter(F.exists("q", lambda x: x.isNull())).isEmpty():
+            return done
+        reach *= 8
 
 
 def covering(intervals: DataFrame, key: str, low: str, high: str, cell: float) -> DataFrame:

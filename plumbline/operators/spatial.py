@@ -32,13 +32,24 @@ def within(a: DataFrame, b: DataFrame, key: str, at: Sequence[str], radius: floa
     return near.filter(F.col("distance") <= radius).select(*by, key, "other", "distance")
 
 
+def sound(at: Sequence[str]) -> Column:
+    """Whether all coordinates are finite numbers."""
+    found = F.lit(True)
+    for c in at:
+        x = F.col(c).cast("double")
+        found = found & F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    return found
+
+
 def closest_pairs(points: DataFrame, key: str, at: Sequence[str], group: str, radius: float) -> DataFrame:
     """(group, key, other, distance): the closest two points of each group of two or more, the smallest keys on ties.
 
     The range join starts at `radius`; groups without a pair there are tried again at twice the radius, and so on, so a
-    radius that fits most groups makes few pairs and none is left out.
+    radius that fits most groups makes few pairs and none is left out. Points of a null or non-finite coordinate, and
+    of no group, are left out first, so every group left has a pair at some radius.
     """
-    left = cut(points.join(points.groupBy(group).count().filter("count > 1").select(group), group, "left_semi"))
+    points = points.filter(sound(at) & F.col(key).isNotNull())
+    left = cut(points.join(points.groupBy(group).agg(F.countDistinct(key).alias("_n")).filter("_n > 1").select(group), group, "left_semi"))
     found = None
     while not left.isEmpty():
         near = within(left, left, key, at, radius, group=group).filter(F.col(key) < F.col("other"))
@@ -48,6 +59,23 @@ def closest_pairs(points: DataFrame, key: str, at: Sequence[str], group: str, ra
     return found if found is not None else points.select(group, key, F.col(key).alias("other"), F.lit(0.0).alias("distance")).limit(0)
 
 
+def nearest_of(points: DataFrame, others: DataFrame, key: str, at: Sequence[str], group: str, radius: float) -> DataFrame:
+    """(group, key, other, distance): for each point its nearest of `others` (group, key, at) of its group, the smallest key on ties, however far.
+
+    As in `closest_pairs`, the radius doubles for points that have found none. Points of a null or non-finite
+    coordinate, or of a group without others, are left out.
+    """
+    others = cut(others.filter(sound(at)))
+    left = cut(points.filter(sound(at)).join(others.select(group).distinct(), group, "left_semi"))
+    found = None
+    while not left.isEmpty():
+        near = within(left, others, key, at, radius, group=group, itself=True)
+        best = cut(near.groupBy(group, key).agg(F.min(F.struct("distance", "other")).alias("m")).select(group, key, "m.other", "m.distance"))
+        found = best if found is None else found.union(best)
+        left, radius = cut(left.join(best.select(group, key), [group, key], "left_anti")), 2 * radius
+    return found if found is not None else points.select(group, key, F.col(key).alias("other"), F.lit(0.0).alias("distance")).limit(0)
+
+
 def overlaps(a: DataFrame, b: DataFrame, low: str, high: str, size: float, keys: Sequence[str]) -> DataFrame:
     """Pairs of intervals (low, high) that overlap: keys of `a`, keys of `b` with _b, and overlap.
 

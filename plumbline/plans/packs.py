@@ -34,7 +34,7 @@ def parse_pack(docs: DataFrame) -> DataFrame:
     times = rows.groupBy("version", "id").agg(F.count("*").alias("n"), F.first(F.struct(*[c for c in rows.columns if c not in ("version", "id")])).alias("r"))
     bad = (
         F.when(F.col("id").isNull(), "a rule without an id")
-        .when(F.col("n") > 1, F.concat(F.lit("rule pack "), "version", F.lit(" defines "), "id", F.lit(" twice")))
+        .when(F.col("n") > 1, F.concat(F.lit("two rules share the id "), "id", F.lit(" in version "), F.coalesce("version", F.lit("without a name"))))
         .when(~F.col("r.comparison").isin("at_least", "at_most"), F.concat(F.lit("unknown comparison of "), "id"))
         .when(~F.col("r.measure").isin(*MEASURES), F.concat(F.lit("unknown measure of "), "id"))
     )

@@ -123,12 +123,13 @@ def versions(evidence: DataFrame, key: str, at: str, item: str) -> DataFrame:
 def claims(jobs: DataFrame, workers: DataFrame, lane: str, order: list[str]) -> DataFrame:
     """(job, worker): each worker (lane, worker) claims one queued job of its lane, and no job is claimed twice.
 
-    Jobs and workers of a lane are numbered in order, and equal numbers meet.
+    Jobs and workers of a lane are numbered in order, and equal numbers meet. No lane's queue is sorted: each task
+    keeps as many of a lane's first jobs as the largest lane has workers.
     """
     number = lambda by: F.row_number().over(W.partitionBy(lane).orderBy(*by))
     free = workers.withColumn("_place", number(["worker"]))
-    most = free.groupBy(lane).agg(F.max("_place").alias("_most"))
-    queued = jobs.filter("state = 'queued'").withColumn("_place", number(order)).join(most, lane).filter("_place <= _most")
+    most = workers.groupBy(lane).count().agg(F.max("count")).first()[0] or 0
+    queued = jobs.filter("state = 'queued'").withColumn("_place", number(order)).filter(F.col("_place") <= most)
     return queued.join(free, [lane, "_place"]).select("job", "worker")
 
 

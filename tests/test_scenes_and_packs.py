@@ -33,7 +33,7 @@ def test_rule_packs_and_ledgers_from_files(spark, tmp_path):
     pack["rules"][0]["threshold"] = 32.0
     changed = packs.parse_pack(spark.createDataFrame([(json.dumps(pack),)], "doc string"))
     assert not any(r.verified for r in packs.with_verification(changed, ledger).collect())
-    for bad, says in (([rule, rule], "twice"), ([{**rule, "comparison": "near"}], "comparison"), ([{**rule, "measure": "x_m"}], "measure"), ([{"threshold": 1.0}], "without an id")):
+    for bad, says in (([rule, rule], "share the id"), ([{**rule, "comparison": "near"}], "comparison"), ([{**rule, "measure": "x_m"}], "measure"), ([{"threshold": 1.0}], "without an id")):
         with pytest.raises(Exception, match=says):
             packs.parse_pack(spark.createDataFrame([(json.dumps({"version": "1", "rules": bad}),)], "doc string")).collect()
 
@@ -72,7 +72,7 @@ def test_trees(spark):
 def test_percentiles_and_covers(spark):
     r = random.Random(4)
     rows = [(g, round(r.gauss(0, 10), r.randrange(3))) for g in "aab" for _ in range(500)] + [("c", 2.0), ("d", None), ("a", None)]
-    got = {x.g: x.q for x in seq.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", [0, 0.02, 0.5, 0.98, 1], cells=16).collect()}
+    got = {x.g: x.q for x in seq.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", [0, 0.02, 0.5, 0.98, 1], accuracy=20).collect()}
     for g in "abc":
         assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], [0, 0.02, 0.5, 0.98, 1]).tolist())
     assert set(got) == {"a", "b", "c"}
