@@ -198,3 +198,45 @@ def down(up: Sequence[Column]) -> Column:
     """The unit vector of gravity in a room's frame, from the frame's axis that points up; null for no axis."""
     size = F.sqrt(sum((c * c for c in up), F.lit(0.0)))
     return F.when(size > 0, F.array(*[-c / size for c in up]))
+
+
+#: Piece-widths that set rows apart, inches from a wall that are its edge, and the share of a room that is a cluster: fixed values.
+ROW_WIDTHS, WALL_EDGE, CLUSTER = 1.5, 24.0, 0.35
+
+
+def arrangements(subjects: DataFrame, walls: DataFrame) -> DataFrame:
+    """Q05: (scene, subject, n, rows, columns, row_spacing, column_spacing, shape) of sets of pieces (scene, subject, id, x, y, width, depth).
+
+    Rows are chains along y, columns along x: a new one begins where the gap to the one before exceeds a piece-width and
+    a half of the widest piece. Spacings are mean gaps of their centres, null for one. shape, the first that fits: one,
+    pair, row; two_rows or grid where rows times columns are all pieces; ring where all but one at the most lie at a
+    wall; cluster where they take up little of the room both ways; spread. Walls: scene, x, y, width, depth.
+    """
+    from pyspark.sql import Window
+
+    by = ["scene", "subject"]
+    tolerance = F.max(F.greatest("width", "depth")).over(Window.partitionBy(*by)) * ROW_WIDTHS
+    rows = subjects.withColumn("_tolerance", tolerance)
+
+    def chains(along: str, name: str, spacing: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(along, "id")
+        new = F.when(F.col(along) - F.lag(along).over(w) > F.col("_tolerance"), 1).otherwise(0)
+        chained = rows.select(*by, "id", along, "_tolerance").withColumn("_new", new).withColumn("_chain", F.sum("_new").over(w))
+        centres = chained.groupBy(*by, "_chain").agg(F.avg(along).alias("c"), F.min(along).alias("low"), F.max(along).alias("high"))
+        return centres.groupBy(*by).agg(F.count("*").alias(name), F.try_divide(F.max("c") - F.min("c"), F.count("*") - 1).alias(spacing), (F.max("high") - F.min("low")).alias(f"_{name}"))
+
+    sides = walls.select("scene", *[F.col(c).alias(f"w_{c}") for c in ("x", "y", "width", "depth")])
+    dx = F.greatest(F.lit(0.0), F.abs(F.col("x") - F.col("w_x")) - (F.col("width") + F.col("w_width")) / 2)
+    dy = F.greatest(F.lit(0.0), F.abs(F.col("y") - F.col("w_y")) - (F.col("depth") + F.col("w_depth")) / 2)
+    near = rows.join(sides, "scene").groupBy(*by, "id").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("gap"))
+    hugging = near.groupBy(*by).agg(F.count_if(F.col("gap") <= WALL_EDGE).alias("_hugging"))
+    room = walls.groupBy("scene").agg((F.max("x") - F.min("x")).alias("_wide"), (F.max("y") - F.min("y")).alias("_long"))
+    all_of = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    whole = all_of.join(chains("y", "rows", "row_spacing"), by).join(chains("x", "columns", "column_spacing"), by).join(hugging, by, "left").join(room, "scene", "left")
+    share = F.greatest(F.coalesce(F.try_divide(F.col("_rows"), F.col("_long")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("_columns"), F.col("_wide")), F.lit(0.0)))
+    n, r, c = F.col("n"), F.col("rows"), F.col("columns")
+    shape = (
+        F.when(n == 1, "one").when(n == 2, "pair").when((r == 1) | (c == 1), "row").when((r * c == n) & (F.least(r, c) == 2) & (n == 4), "two_rows").when(r * c == n, "grid")
+        .when(F.coalesce("_hugging", F.lit(0)) >= n - 1, "ring").when(share <= CLUSTER, "cluster").otherwise("spread")
+    )
+    return whole.select(*by, "n", "rows", "columns", "row_spacing", "column_spacing", shape.alias("shape"))

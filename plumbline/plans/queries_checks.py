@@ -92,3 +92,24 @@ def gravity_directions(spark, sf_dir):
     up = [F.col("embedding")[i].cast("double") for i in range(3)]
     v = table(spark, sf_dir, "embeddings").select("vec_id", checks.down(up).alias("d"))
     return v.select("vec_id", *[F.round(F.col("d")[i], 6).alias(c) for i, c in enumerate("xyz")])
+
+
+@query("arrangement_shapes", f"""WITH {PIECES}, g AS (SELECT id // 50 AS scene, 's' || id % 50 % 11 AS subject, id, id % 50 // 11 AS j, id % 50 % 11 AS f, id // 50 AS m FROM (SELECT p_partkey AS id FROM part)),
+    s AS (SELECT scene, subject, id, (CASE f % 4 WHEN 0 THEN 20 + j % 2 * 60 WHEN 1 THEN 10 + j * 50 WHEN 2 THEN 60 + (j * 7 + m) % 5 * 9 ELSE j * 53 % 220 + 10 END)::DOUBLE AS x, (CASE f % 4 WHEN 0 THEN 30 + j // 2 * 70 WHEN 1 THEN 8 + m % 3 * j * 40 WHEN 2 THEN 90 + (j * 3 + m) % 5 * 11 ELSE j * 97 % 300 + 10 END)::DOUBLE AS y, 5.0::DOUBLE AS width, 4.0::DOUBLE AS depth FROM g),
+    r AS (SELECT scene, subject, sum(new) OVER (PARTITION BY scene, subject ORDER BY y, id) AS g, y AS v FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY scene, subject ORDER BY y, id) > 7.5 THEN 1 ELSE 0 END AS new FROM s)),
+    c AS (SELECT scene, subject, sum(new) OVER (PARTITION BY scene, subject ORDER BY x, id) AS g, x AS v FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY scene, subject ORDER BY x, id) > 7.5 THEN 1 ELSE 0 END AS new FROM s)),
+    rr AS (SELECT scene, subject, count(*) AS rows, (max(a) - min(a)) / nullif(count(*) - 1, 0) AS row_spacing, max(h) - min(l) AS e FROM (SELECT scene, subject, g, avg(v) AS a, min(v) AS l, max(v) AS h FROM r GROUP BY ALL) GROUP BY 1, 2),
+    cc AS (SELECT scene, subject, count(*) AS columns, (max(a) - min(a)) / nullif(count(*) - 1, 0) AS column_spacing, max(h) - min(l) AS e FROM (SELECT scene, subject, g, avg(v) AS a, min(v) AS l, max(v) AS h FROM c GROUP BY ALL) GROUP BY 1, 2),
+    w AS (SELECT * FROM p WHERE role = 'wall'), room AS (SELECT scene, max(x) - min(x) AS wide, max(y) - min(y) AS long FROM w GROUP BY scene),
+    h AS (SELECT scene, subject, count(*) AS n, count(*) FILTER (WHERE (SELECT min(sqrt(greatest(0, abs(s.x - w.x) - (s.width + w.width) / 2) ** 2 + greatest(0, abs(s.y - w.y) - (s.depth + w.depth) / 2) ** 2)) FROM w WHERE w.scene = s.scene) <= 24) AS hug FROM s GROUP BY 1, 2)
+    SELECT scene, subject, n, rows, columns, round(row_spacing, 6) AS row_spacing, round(column_spacing, 6) AS column_spacing, CASE WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'pair' WHEN rows = 1 OR columns = 1 THEN 'row' WHEN rows * columns = n AND least(rows, columns) = 2 AND n = 4 THEN 'two_rows' WHEN rows * columns = n THEN 'grid'
+      WHEN hug >= n - 1 THEN 'ring' WHEN greatest(coalesce(rr.e / nullif(long, 0), 0), coalesce(cc.e / nullif(wide, 0), 0)) <= 0.35 THEN 'cluster' ELSE 'spread' END AS shape FROM h JOIN rr USING (scene, subject) JOIN cc USING (scene, subject) LEFT JOIN room USING (scene)""")
+def arrangement_shapes(spark, sf_dir):
+    """Q05: the shapes in which the pieces of each kind of a room stand."""
+    i, m = F.col("p_partkey") % 50, F.floor(F.col("p_partkey") / 50)
+    j, f = F.floor(i / 11), i % 11 % 4
+    x = F.when(f == 0, 20 + j % 2 * 60).when(f == 1, 10 + j * 50).when(f == 2, 60 + (j * 7 + m) % 5 * 9).otherwise(j * 53 % 220 + 10)
+    y = F.when(f == 0, 30 + F.floor(j / 2) * 70).when(f == 1, 8 + m % 3 * j * 40).when(f == 2, 90 + (j * 3 + m) % 5 * 11).otherwise(j * 97 % 300 + 10)
+    s = table(spark, sf_dir, "part").select(m.alias("scene"), F.concat(F.lit("s"), i % 11).alias("subject"), F.col("p_partkey").alias("id"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(5.0).alias("width"), F.lit(4.0).alias("depth"))
+    found = checks.arrangements(s, pieces(spark, sf_dir).filter("role = 'wall'"))
+    return found.withColumns({c: F.round(c, 6) for c in ("row_spacing", "column_spacing")})
