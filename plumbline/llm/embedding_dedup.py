@@ -170,7 +170,8 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 
     schema = f"vec_id long, fp long, embedding {members.schema['embedding'].dataType.simpleString()}, dim int, component_id long"
     with_core = cut(
-        members.join(_centres(members), ["component_id", "dim"])
+        # Written, so that a large component is split in the join.
+        members.join(cut(_centres(members)), ["component_id", "dim"])
         .select("vec_id", "fp", "embedding", "dim", "component_id", "centre")
         .mapInPandas(angled, schema + ", core boolean")
     )
