@@ -176,3 +176,33 @@ def latest_export(revisions: DataFrame, key: str, version: str, node: str) -> Da
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
     """Training rows as JSON lines, a folder for each split."""
     rows.write.mode("overwrite").partitionBy(split).json(path)
+
+
+def write_results(rows: DataFrame, path: str, case: str, scorer: str, score: str, setting: str) -> None:
+    """An evaluation's results below `path`: cases, their rows; means, a mean a scorer; grid, a mean a setting and scorer.
+
+    Null scores are kept as rows and left out of means. All are JSON, a line a row.
+    """
+    mean = F.avg(score).alias("mean")
+    rows.select(case, scorer, score, setting).write.mode("overwrite").json(f"{path}/cases")
+    rows.groupBy(scorer).agg(mean, F.count(score).alias("n")).write.mode("overwrite").json(f"{path}/means")
+    rows.groupBy(setting, scorer).agg(mean).write.mode("overwrite").json(f"{path}/grid")
+
+
+COVERAGE = "array<struct<node_id: string, observed_fraction: double, viewpoint_count: int>>"
+
+
+def coverage(docs: DataFrame, floor: float = 0.7, views: int = 2) -> DataFrame:
+    """(path, node_id, observed_fraction, viewpoint_count, done) of coverage documents (path, doc); what isn't one gives no rows.
+
+    done: so much was observed, from so many places; missing numbers aren't enough.
+    """
+    rows = docs.select("path", F.inline(F.from_json("doc", COVERAGE)))
+    done = F.coalesce((F.col("observed_fraction") >= floor) & (F.col("viewpoint_count") >= views), F.lit(False))
+    return rows.filter("node_id is not null").withColumn("done", done)
+
+
+def floors_met(covered: DataFrame, floors: DataFrame, module: str) -> DataFrame:
+    """(module, share, floor, met): the share of each module's done rows against its floor (module, floor); null met without a floor."""
+    share = covered.groupBy(module).agg(F.avg(F.col("done").cast("double")).alias("share"))
+    return share.join(floors, module, "full").select(module, "share", "floor", (F.coalesce("share", F.lit(0.0)) >= F.col("floor")).alias("met"))

@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below the one that the session shares: for what is written and read again."""
+    import uuid
+
+    cut(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
