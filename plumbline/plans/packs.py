@@ -2,7 +2,7 @@
 
 A pack is {version, rules: [{id, title, citation: {section}, tier, threshold, unit, comparison, words, measure, when}]};
 a ledger is {entries: [{rule_id, section, threshold, unit, verified_by}]}. Both are small; the elements that rules are
-evaluated on aren't, and meet them in one broadcast join whose size is checked.
+evaluated on aren't: labels are found by an index of words, and rules, whose number is checked, are broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
+from plumbline.operators.containment import all_words_in
 
 RULES = """struct<version: string, rules: array<struct<id: string, title: string, citation: struct<section: string>, tier: int, threshold: double, unit: string, comparison: string,
     words: string, measure: string, `when`: struct<measure: string, comparison: string, limit: double>>>>"""
@@ -70,6 +71,13 @@ def with_verification(pack: DataFrame, ledger: DataFrame, max_tier: int = 1) ->
     return pack.filter(F.col("tier") <= max_tier).join(hits, ["version", "id"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
+def fitting(rules: DataFrame, elements: DataFrame) -> DataFrame:
+    """Distinct (_words, _label), in lower case: a rule's words that are all in a label of an element; no words fit all."""
+    words, labels = rules.select(F.lower("words").alias("_words")).distinct(), elements.select(F.lower("label").alias("_label")).distinct()
+    every = words.filter(F.trim("_words") == "").crossJoin(labels.filter("_label is not null"))
+    return all_words_in(words, labels, "_words", "_label").union(every)
+
+
 def evaluate(elements: DataFrame, rules: DataFrame, uncertainty: float = 0.0) -> DataFrame:
     """(rule_id, id, outcome, measured, required) of each verified rule and the elements (id, label, measures) it is for.
 
@@ -80,7 +88,6 @@ def evaluate(elements: DataFrame, rules: DataFrame, uncertainty: float = 0.0) ->
     if some > MOST_RULES:
         raise ValueError(f"a pack has at most {MOST_RULES} rules")
     of = lambda name: F.coalesce(*[F.when(name == m, F.col(m).cast("double")) for m in MEASURES])
-    named = F.forall(F.split(F.lower("words"), " "), lambda w: F.contains(F.lower("label"), w))
     meets = lambda value, how, limit: F.when(how == "at_least", X.meets(value, "at_least", limit)).otherwise(X.meets(value, "at_most", limit))
     applies = F.col("when").isNull() | F.coalesce(meets(of(F.col("when.measure")), F.col("when.comparison"), F.col("when.limit")), F.lit(False))
     measured = X.inches(of(F.col("measure")))
@@ -88,7 +95,8 @@ def evaluate(elements: DataFrame, rules: DataFrame, uncertainty: float = 0.0) ->
     verdict = lambda head: X.interval_verdict(measured - uncertainty, measured + uncertainty, limit, head, eps=X.AT_LIMIT)
     how: Column = F.when(F.col("comparison") == "at_least", verdict("min")).otherwise(verdict("max"))
     outcome = F.when(how == "satisfied", "passes").when(how == "violation", "problem").otherwise("question")
-    kept = rules.filter("verified").drop("title", "section", "tier", "version").withColumnRenamed("id", "rule_id")
-    judged = elements.join(F.broadcast(kept), named & applies).select("rule_id", F.col("id").cast("long").alias("id"), outcome.alias("outcome"), measured.alias("measured"), limit.alias("required"))
+    kept = rules.filter("verified").drop("title", "section", "tier", "version").withColumnRenamed("id", "rule_id").withColumn("_words", F.lower("words"))
+    named = elements.withColumn("_label", F.lower("label")).join(fitting(kept, elements), "_label")
+    judged = named.join(F.broadcast(kept), "_words").filter(applies).select("rule_id", F.col("id").cast("long").alias("id"), outcome.alias("outcome"), measured.alias("measured"), limit.alias("required"))
     held = rules.filter("not verified").select(F.col("id").alias("rule_id"), F.lit(None).cast("long").alias("id"), F.lit("question").alias("outcome"), F.lit(None).cast("double").alias("measured"), F.lit(None).cast("double").alias("required"))
     return judged.union(held)

@@ -36,10 +36,14 @@ def _rules(spark):
     return packs.with_verification(packs.parse_pack(pack), packs.parse_ledger(ledger))
 
 
-@query("verified_rules", """SELECT * FROM (VALUES ('route_clear_width', true), ('door_clear_width', true), ('counter_height', true), ('protruding_objects', true), ('reach_range', false), ('grab_bars', false)) t(id, verified)""")
+@query("verified_rules", f"""WITH r AS (SELECT * FROM (VALUES ('route_clear_width', true, 'route'), ('door_clear_width', true, 'door'), ('counter_height', true, 'counter'), ('protruding_objects', true, 'sign'), ('reach_range', false, 'control'), ('grab_bars', false, 'bar')) t(id, verified, words)),
+    e AS (SELECT list_extract({WORDS}, (p_partkey % 9 + 1)::INT) AS w FROM part) SELECT id, verified, (SELECT count(*) FROM e WHERE contains(w, words)) AS n FROM r""")
 def verified_rules(spark, sf_dir):
-    """A pack's rules, and whether the ledger verifies each with its present threshold."""
-    return _rules(spark).select("id", "verified")
+    """A pack's rules, whether the ledger verifies each with its present threshold, and how many elements it is for."""
+    rules, elements = _rules(spark), _elements(spark, sf_dir)
+    tally = elements.groupBy(F.lower("label").alias("_label")).agg(F.count("*").alias("n"))
+    n = packs.fitting(rules, elements).join(tally, "_label").groupBy("_words").agg(F.sum("n").alias("n"))
+    return rules.withColumn("_words", F.lower("words")).join(n, "_words", "left").select("id", "verified", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("pack_outcomes", f"""WITH e AS (SELECT *, list_extract({WORDS}, (id % 9 + 1)::INT) AS w FROM ({REGIONS})), m AS (
