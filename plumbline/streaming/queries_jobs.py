@@ -48,7 +48,10 @@ def swept_guests(spark, sf_dir):
     return jobs.swept(by, F.lit("2024-02-20").cast("timestamp"), 30, 7).select("k", "action")
 
 
-@query("reserved_bytes")
+@query("reserved_bytes", """WITH RECURSIVE o AS (SELECT o_custkey AS owner, o_orderkey AS job, trunc(o_totalprice)::BIGINT AS bytes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    s AS (SELECT owner, job, n, (bytes <= 600000)::INT AS c, CASE WHEN bytes <= 600000 THEN bytes ELSE 0 END AS b, bytes <= 600000 AS admitted FROM o WHERE n = 1
+      UNION ALL SELECT owner, job, n, c + f::INT, b + CASE WHEN f THEN bytes ELSE 0 END, f FROM (SELECT o.*, s.c, s.b, s.c < 5 AND s.b + o.bytes <= 600000 AS f FROM s JOIN o ON o.owner = s.owner AND o.n = s.n + 1))
+    SELECT owner, job, admitted FROM s""")
 def reserved_bytes(spark, sf_dir):
     """A count and a byte budget an owner; tests compare it with a loop."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("job"), F.col("o_totalprice").cast("long").alias("bytes"))

@@ -30,19 +30,31 @@ def trailing_limit(spark, sf_dir):
     return jobs.trailing_counts(_events(spark, sf_dir), "user_id", "ts", 86400.0, 3).select("event_id", "in_window")
 
 
-@query("admitted_events")
+@query("admitted_events", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, event_id, n, [t] AS times, true AS admitted FROM e WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END, len(l) < 3
+      FROM (SELECT e.*, list_filter(s.times, lambda x: x > e.t - 86400000000) AS l FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT user_id, event_id, admitted FROM s""")
 def admitted_events(spark, sf_dir):
     """Refused events don't count against the limit."""
     return jobs.admitted(_events(spark, sf_dir).select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", 86400.0, 3)
 
 
-@query("sampled_frames")
+@query("sampled_frames", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, event_id * 7 % 360 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, n, event_id, t, value, h, true AS kept FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, event_id, CASE WHEN k THEN t ELSE lt END, CASE WHEN k THEN value ELSE lv END, CASE WHEN k THEN h ELSE lh END, k
+      FROM (SELECT e.*, s.t AS lt, s.value AS lv, s.h AS lh, e.t - s.t >= 86400 OR (e.t - s.t >= 3600 AND (abs(e.value - s.value) >= 100)) AS k FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT user_id, event_id FROM s WHERE kept""")
 def sampled_frames(spark, sf_dir):
     """T10, T11."""
     return jobs.sampled(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", "event_id", "ts", "value", 3600.0, 86400.0, 100.0)
 
 
-@query("walk_frames")
+@query("walk_frames", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, event_id * 7 % 360 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, n, event_id, t, value, h, true AS kept FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, event_id, CASE WHEN k THEN t ELSE lt END, CASE WHEN k THEN value ELSE lv END, CASE WHEN k THEN h ELSE lh END, k
+      FROM (SELECT e.*, s.t AS lt, s.value AS lv, s.h AS lh, e.t - s.t >= 43200 OR (e.t - s.t >= 1800 AND (abs(e.value - s.value) >= 100 OR least(abs(e.h - s.h), 360 - abs(e.h - s.h)) >= 8)) AS k FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT user_id, event_id FROM s WHERE kept""")
 def walk_frames(spark, sf_dir):
     """A user's events as a walk, with a turn of eight degrees; tests compare it with a loop."""
     e = _events(spark, sf_dir).select("user_id", "event_id", "ts", "value", (F.col("event_id") * 7 % 360).cast("double").alias("heading"))
