@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.tables import dealt
+
 
 def corners(cx: Column, cy: Column, hx: Column, hy: Column, angle: Column) -> Column:
     """The corners (x, y) of a rotated rectangle, counter-clockwise."""
@@ -73,13 +75,14 @@ def near_footprints(boxes: DataFrame, key: str, reach: float, by: Sequence[str]
     """Pairs of rotated rectangles (by, key, cx, cy, half_x, half_y, angle) at most `reach` apart: key, other (larger), gap, overlap.
 
     overlap: the area in common. Rectangles go to the cells that their bounds reach; a pair is judged in the first cell
-    that both bounds share, by bounds first, then exactly. Null or non-finite measures are near nothing.
+    that both bounds share, by bounds first, then exactly. Null or non-finite measures are near nothing. Cells meet by
+    shuffles, whatever the size of the table's file.
     """
     size = 2 * (F.col("half_x") + F.col("half_y"))
     sound = boxes.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in ("cx", "cy", "half_x", "half_y", "angle")))
     c, s = F.abs(F.cos("angle")), F.abs(F.sin("angle"))
     wide, high = F.col("half_x") * c + F.col("half_y") * s, F.col("half_x") * s + F.col("half_y") * c
-    bounds = sound.select(
+    bounds = dealt(sound, key).select(
         *by, key, corners(*[F.col(x) for x in ("cx", "cy", "half_x", "half_y", "angle")]).alias("shape"), size.alias("size"),
         (F.col("cx") - wide).alias("x1"), (F.col("cx") + wide).alias("x2"), (F.col("cy") - high).alias("y1"), (F.col("cy") + high).alias("y2"),
     )
@@ -91,7 +94,7 @@ def near_footprints(boxes: DataFrame, key: str, reach: float, by: Sequence[str]
     other = placed.select(*by, "i", "j", *[F.col(x).alias(f"o_{x}") for x in (key, "shape", "x1", "x2", "y1", "y2", "i0", "j0")])
     once = (F.col("i") == F.greatest("i0", "o_i0")) & (F.col("j") == F.greatest("j0", "o_j0"))
     close = (F.col("x1") <= F.col("o_x2") + reach) & (F.col("o_x1") <= F.col("x2") + reach) & (F.col("y1") <= F.col("o_y2") + reach) & (F.col("o_y1") <= F.col("y2") + reach)
-    met = placed.join(other, [*by, "i", "j"]).filter((F.col(key) < F.col(f"o_{key}")) & once & close)
+    met = placed.join(other.hint("merge"), [*by, "i", "j"]).filter((F.col(key) < F.col(f"o_{key}")) & once & close)
     exact = met.withColumn("gap", gap(F.col("shape"), F.col("o_shape"))).filter(F.col("gap") <= reach)
     overlap = F.when(F.col("gap") == 0, area(clipped(F.col("shape"), F.col("o_shape")))).otherwise(F.lit(0.0))
     return exact.select(*by, key, F.col(f"o_{key}").alias("other"), "gap", overlap.alias("overlap"))
@@ -129,8 +132,8 @@ def near_segments(probes: DataFrame, segments: DataFrame, probe: str, segment: s
     """
     sound = lambda df: df.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in ("x1", "y1", "x2", "y2")))
     line = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("u"), F.col("y2").alias("v"))
-    asks = _crossed(sound(probes), cell, radius).select(*by, probe, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_p"))
-    index = _crossed(sound(segments), cell, 0.0).select(*by, segment, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_s"))
-    met = asks.join(index, [*by, "_i", "_j"]).select(*by, probe, segment, segment_distance(F.col("_p"), F.col("_s")).alias("distance"))
+    asks = _crossed(dealt(sound(probes), probe), cell, radius).select(*by, probe, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_p"))
+    index = _crossed(dealt(sound(segments), segment), cell, 0.0).select(*by, segment, F.col("i").alias("_i"), F.col("j").alias("_j"), line.alias("_s"))
+    met = asks.join(index.hint("merge"), [*by, "_i", "_j"]).select(*by, probe, segment, segment_distance(F.col("_p"), F.col("_s")).alias("distance"))
     # A pair may meet in several cells.
     return met.filter(F.col("distance") <= radius).groupBy(*by, probe, segment).agg(F.min("distance").alias("distance"))

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """`df` dealt by `by` to as many tasks as the session shuffles to.
+
+    A small compressed file holds many rows and is one task's: what its rows are expanded to would be that task's too.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut, in the shared folder that the session names in spark.checkpoint.dir.
 
