@@ -41,12 +41,11 @@ def collisions(pieces: DataFrame, reach: float, group: str | None = None) -> Dat
 
     No piece is larger than `reach`.
     """
-    near = within(pieces, pieces, "id", ["x", "y"], reach, group=group).filter("id < other")
-    size = pieces.select("id", "x", "y", "width", "depth")
-    b = size.select(F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "depth")])
-    both = near.join(size, "id").join(b, "other")
-    over = lambda p, s: F.abs(F.col(p) - F.col(f"o_{p}")) < (F.col(s) + F.col(f"o_{s}")) / 2 - 1e-9
-    return both.filter(over("x", "width") & over("y", "depth")).select("id", "other")
+    # A piece takes its measures along, so pairs aren't joined to them again.
+    whole = pieces.select(*([group] if group else []), F.struct("id", "x", "y", "width", "depth").alias("_p"), "x", "y")
+    near = within(whole, whole, "_p", ["x", "y"], reach, group=group).filter(F.col("_p.id") < F.col("other.id"))
+    over = lambda p, s: F.abs(F.col(f"_p.{p}") - F.col(f"other.{p}")) < (F.col(f"_p.{s}") + F.col(f"other.{s}")) / 2 - 1e-9
+    return near.filter(over("x", "width") & over("y", "depth")).select("_p.id", F.col("other.id").alias("other"))
 
 
 def usability(now: str, before: str) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import footprints
+from plumbline.operators import footprints, layouts
 
 
 def plan(df):
@@ -17,3 +17,10 @@ def test_footprints_meet_by_shuffles(spark):
     k = F.col("id")
     boxes = spark.range(40).select("id", (k % 7 * 0.9).alias("cx"), (k % 5 * 0.8).alias("cy"), F.lit(0.5).alias("half_x"), F.lit(0.3).alias("half_y"), (k * 0.4).alias("angle"))
     assert shuffled(footprints.near_footprints(boxes, "id", 0.25))
+
+
+def test_layout_collisions_meet_by_shuffles(spark):
+    rows = [(1, 0.0, 0.0, 1.0, 1.0), (2, 0.9, 0.0, 1.0, 1.0), (3, 1.0, 0.0, 1.0, 1.0), (4, 0.0, 0.0, 1.0, 1.0)]
+    found = layouts.collisions(spark.createDataFrame(rows, "id long, x double, y double, width double, depth double"), 1.8)
+    assert shuffled(found) and plan(found).count("SortMergeJoin") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (1, 4), (2, 3), (2, 4)}
