@@ -116,18 +116,23 @@ def cyclic(parents: DataFrame) -> DataFrame:
 def unmatched(a: DataFrame, b: DataFrame, key: str, kind: str, at: Sequence[str], near: float, value: str, within_value: float) -> DataFrame:
     """Rows of `a` that no row of `b` equals: of the same kind, within `near` of its place, its value within a tolerance.
 
-    A row without a place, or without a value, equals only rows without one. Placed rows meet by grid cells.
+    A row without a place, or without a value, equals only rows without one. Placed rows meet by grid cells, those of
+    one kind, place and value once, however many they are; so do rows without a place.
     """
     fits = (F.col(value).isNull() & F.col(f"_{value}").isNull()) | F.coalesce(F.abs(F.col(value) - F.col(f"_{value}")) <= within_value, F.lit(False))
-    other = b.select(F.col(key).alias("other"), F.col(value).alias(f"_{value}"))
-    placed = spatial.within(a.filter(F.col(at[0]).isNotNull()), b.filter(F.col(at[0]).isNotNull()), key, at, near, group=kind, itself=True)
-    hits = placed.select(key, "other").join(a.select(key, value), key).join(other, "other").filter(fits).select(key)
+    what = F.struct(kind, *at, value)
+    placed_once = lambda df: df.filter(F.col(at[0]).isNotNull()).select(kind, *at, value).distinct().select(kind, *at, what.alias("_what"))
+    placed = spatial.within(placed_once(a), placed_once(b), "_what", at, near, group=kind, itself=True)
+    met_at = placed.select("_what", F.col(f"_what.{value}").alias(value), F.col(f"other.{value}").alias(f"_{value}")).filter(fits).select("_what").distinct()
+    hits = a.select(key, what.alias("_what")).join(met_at.hint("merge"), "_what", "left_semi").select(key)
     # Without a place, rows of a kind meet by cells of their value alone.
     cell = lambda c: F.floor(F.col(c) / within_value)
-    alone = a.filter(F.col(at[0]).isNull()).select(key, kind, value, F.explode(F.when(F.col(value).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(cell(value) - 1, cell(value) + 1))).alias("_cell"))
+    alone = a.filter(F.col(at[0]).isNull()).select(kind, value).distinct().select(kind, value, F.explode(F.when(F.col(value).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(cell(value) - 1, cell(value) + 1))).alias("_cell"))
     there = b.filter(F.col(at[0]).isNull()).select(F.col(kind).alias("_kind"), F.col(value).alias(f"_{value}"), cell(value).alias("_there")).distinct()
-    met = alone.join(there, (alone[kind] == there["_kind"]) & alone["_cell"].eqNullSafe(there["_there"])).filter(fits).select(key)
-    return a.join(hits.union(met).distinct(), key, "left_anti")
+    met = alone.join(there.hint("merge"), (alone[kind] == there["_kind"]) & alone["_cell"].eqNullSafe(there["_there"])).filter(fits).select(F.col(kind).alias("_kind"), F.col(value).alias("_like")).distinct()
+    unplaced = a.filter(F.col(at[0]).isNull()).select(key, kind, value)
+    like = unplaced.join(met.hint("merge"), (F.col(kind) == F.col("_kind")) & F.col(value).eqNullSafe(F.col("_like")), "left_semi").select(key)
+    return a.join(hits.union(like).distinct().hint("merge"), key, "left_anti")
 
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
