@@ -94,6 +94,29 @@ def polygon_gap(a: np.ndarray, b: np.ndarray) -> float:
     return best
 
 
+def least_gap(polygons: list[np.ndarray]) -> float | None:
+    """The least gap between two of the convex polygons; none with fewer than two.
+
+    They go by where they begin; a pair whose bounds are as far apart as the best pair so far isn't measured.
+    """
+    if len(polygons) < 2:
+        return None
+    low, high = np.array([p.min(0) for p in polygons]), np.array([p.max(0) for p in polygons])
+    order = np.argsort(low[:, 0], kind="stable")
+    best = np.inf
+    for at, i in enumerate(order[:-1]):
+        after = order[at + 1 : at + 1 + np.searchsorted(low[order[at + 1 :], 0], high[i, 0] + best)]
+        apart = np.linalg.norm(np.maximum(0, np.maximum(low[after] - high[i], low[i] - high[after])), axis=1)
+        nearest = np.argsort(apart, kind="stable")
+        for j, bound in zip(after[nearest], apart[nearest], strict=True):
+            if bound >= best:
+                break
+            best = min(best, polygon_gap(polygons[max(i, j)], polygons[min(i, j)]))
+            if best == 0:
+                return 0.0
+    return float(best)
+
+
 def rasterise(width: float, depth: float, boxes: np.ndarray, cell: float = CELL) -> np.ndarray:
     """Owner of each cell of a floor from 0, 0: the index of the first box (cx, cy, half_x, half_y, angle) over its centre, or -1."""
     rows, cols = max(1, round(depth / cell)), max(1, round(width / cell))
@@ -234,10 +257,14 @@ def isovist(centre: np.ndarray, segments: np.ndarray, rays: int = 180, most: flo
     step = 2 * np.pi / rays
     angle = np.arange(rays) * step
     d = np.stack([np.cos(angle), np.sin(angle)], 1)[:, None]
-    a, e = segments[None, :, :2] - centre, (segments[:, 2:] - segments[:, :2])[None]
-    cross = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (a[..., 0] * e[..., 1] - a[..., 1] * e[..., 0]) / cross
-        u = (a[..., 0] * d[..., 1] - a[..., 1] * d[..., 0]) / cross
-    hit = np.where((np.abs(cross) > 1e-12) & (t >= 0) & (u >= 0) & (u <= 1), t, most)
-    return float((0.5 * np.minimum(hit.min(1), most) ** 2 * step).sum())
+    nearest = np.full(rays, most)
+    for first in range(0, len(segments), 4096):  # many segments are looked at some at a time
+        some = segments[first : first + 4096]
+        a, e = some[None, :, :2] - centre, (some[:, 2:] - some[:, :2])[None]
+        cross = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (a[..., 0] * e[..., 1] - a[..., 1] * e[..., 0]) / cross
+            u = (a[..., 0] * d[..., 1] - a[..., 1] * d[..., 0]) / cross
+        hit = np.where((np.abs(cross) > 1e-12) & (t >= 0) & (u >= 0) & (u <= 1), t, most)
+        nearest = np.minimum(nearest, hit.min(1))
+    return float((0.5 * nearest**2 * step).sum())
