@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.tables import dealt
+
 #: Kinds of a room document's arrays: fixed values.
 ROOM_ARRAYS = {"walls": "wall", "doors": "door", "windows": "window", "openings": "opening", "floors": "floor", "objects": "object"}
 MESH = "array<struct<id: string, transform: array<double>, vertices: array<double>, triangles: array<int>>>"
@@ -62,7 +64,7 @@ def fixture_rooms(rooms_: DataFrame) -> DataFrame:
     """The same small shop for each row (room): room, id, name, kind, x, y, w, d, h; ids are the same at every run."""
     kind = "array<struct<name: string, kind: string, x: double, y: double, w: double, d: double, h: double>>"
     shop = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("name", "kind", "x", "y", "w", "d", "h"), row, strict=True)]) for row in SHOP]).cast(kind)
-    rows = rooms_.select("room", F.inline(shop))
+    rows = dealt(rooms_.select("room"), "room").select("room", F.inline(shop))
     return rows.withColumn("id", F.sha2(F.concat_ws("/", F.lit("piece"), F.col("room").cast("string"), "name"), 256))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import footprints, layouts, rel, spatial
+from plumbline.sources import io
 
 
 def plan(df):
@@ -47,3 +48,8 @@ def test_problems_at_one_place_meet_once(spark, monkeypatch):
     left = rel.unmatched(a, a.filter("id % 2 = 0"), "id", "kind", ["x"], 0.5, "v", 1.0)
     assert shuffled(left) and {r.id for r in left.collect()} == set(range(1, 60, 2))
     assert made[0].count() == 2
+
+
+def test_fixture_rooms_and_meshes_are_dealt_before_they_grow(spark):
+    made = io.fixture_rooms(spark.range(30).coalesce(1).withColumnRenamed("id", "room"))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.count() == 30 * len(io.SHOP)
