@@ -4,7 +4,7 @@ A row decides as soon as no undecided row before it is near enough to matter; al
 is found by cells, so a round is a few equi-joins and no group is a task. The number of rounds is the longest chain of
 rows that wait for each other: short where order and place have nothing to do with each other, as long as the chain
 where rows are ordered along a line. Keys are distinct within a group. A row with a null or non-finite coordinate is
-near no other row.
+near no other row. Joins are by shuffles: rows of a small file may be many in cells and pairs.
 """
 
 from __future__ import annotations
@@ -58,15 +58,15 @@ def _winners(left: DataFrame, grid: _Grid, key: str, near: Column, sided: bool)
         first = left.groupBy(*grid.place, "_side").agg(F.min("_order").alias("_first"))
         two = first.withColumn("_n", F.row_number().over(Window.partitionBy(*grid.place).orderBy("_first"))).filter("_n <= 2")
         ends = two.groupBy(*grid.place).agg(F.min_by("_side", "_first").alias("_own"), F.count("*").alias("_sides"), F.max("_first").alias("_end"))
-        able = left.join(ends, grid.place).filter((F.col("_side") == F.col("_own")) & ((F.col("_sides") == 1) | (F.col("_order") < F.col("_end")))).select(left.columns)
+        able = left.join(ends.hint("merge"), grid.place).filter((F.col("_side") == F.col("_own")) & ((F.col("_sides") == 1) | (F.col("_order") < F.col("_end")))).select(left.columns)
     else:
         able = left.groupBy(*grid.place).agg(F.min_by(F.struct(*left.columns), "_order").alias("_row")).select("_row.*")
     able = cut(able)
     rival = left.select(*grid.place, *[F.col(c).alias(f"_o_{c}") for c in [*grid.at, "_side", "_order"]])
     meets = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in grid.place]
-    beaten = grid.around(able).alias("l").join(rival.alias("r"), [*meets, near, F.col("_side") != F.col("_o__side"), F.col("_o__order") < F.col("_order")], "left_semi")
+    beaten = grid.around(able).alias("l").join(rival.hint("merge").alias("r"), [*meets, near, F.col("_side") != F.col("_o__side"), F.col("_o__order") < F.col("_order")], "left_semi")
     who = [*[c for c in grid.place if c not in grid.cells], key]
-    return cut(able.join(beaten.select(*who).distinct(), who, "left_anti"))
+    return cut(able.join(beaten.select(*who).distinct().hint("merge"), who, "left_anti"))
 
 
 def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], radius: float, order: Sequence[Column] = (), side: str | None = None, touching: bool = True) -> DataFrame:
@@ -87,14 +87,14 @@ def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str],
         kept = won if kept is None else kept.union(won)
         covers = grid.around(other(won))
         meets = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in grid.place]
-        rest = left.join(won.select(*by, key), [*by, key], "left_anti").select(left.columns)
-        left = cut(rest.alias("l").join(covers.alias("r"), [*meets, near & (F.col("_side") != F.col("_o__side"))], "left_anti"))
+        rest = left.join(won.select(*by, key).hint("merge"), [*by, key], "left_anti").select(left.columns)
+        left = cut(rest.alias("l").join(covers.hint("merge").alias("r"), [*meets, near & (F.col("_side") != F.col("_o__side"))], "left_anti"))
     odd = rows.filter(~_sound(at)).select(*columns, F.col(key).alias("kept_as"))
     if kept is None:
         return odd
     kept = cut(kept)
-    gone = all_rows.join(kept.select(*by, key), [*by, key], "left_anti")
-    named = gone.join(grid.around(other(kept)), grid.place).filter(near & (F.col("_side") != F.col("_o__side")))
+    gone = all_rows.join(kept.select(*by, key).hint("merge"), [*by, key], "left_anti")
+    named = gone.join(grid.around(other(kept)).hint("merge"), grid.place).filter(near & (F.col("_side") != F.col("_o__side")))
     named = named.groupBy(*columns).agg(F.min_by(f"_o_{key}", "_o__order").alias("kept_as"))
     return kept.select(*columns, F.col(key).alias("kept_as")).union(named).union(odd)
 
@@ -111,17 +111,17 @@ def densest(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], rad
     points = rows.filter(_sound(at)).withColumns({"_all": F.lit(0), "_id": name})
     count = lambda a, b: within(a, b, "_id", at, radius, group="_by", itself=True).groupBy("_id").agg(F.count("*").alias("_m"))
     points = points.withColumn("_by", F.struct(*by) if by else F.lit(0))
-    left = cut(points.join(count(points, points), "_id").withColumnRenamed("_m", "_n"))
+    left = cut(points.join(count(points, points).hint("merge"), "_id").withColumnRenamed("_m", "_n"))
     found = rows.filter(~_sound(at)).select(*by, key, F.lit(1).cast("long").alias("n"))
     while not left.isEmpty():
         ordered = wide.placed(left).withColumns({"_order": F.struct(-F.col("_n"), F.col(key)), "_side": F.col(key)})
         won = _winners(ordered, wide, key, wide.distance("_o_") <= 2 * radius, False)
         found = found.union(won.select(*by, key, F.col("_n").alias("n")))
         covered = cut(within(left, won, "_id", at, radius, group="_by", itself=True).select("_id").distinct())
-        gone = left.join(covered, "_id")
-        stay = left.join(covered, "_id", "left_anti")
+        gone = left.join(covered.hint("merge"), "_id")
+        stay = left.join(covered.hint("merge"), "_id", "left_anti")
         lost = count(stay, gone)
-        left = cut(stay.join(lost, "_id", "left").withColumn("_n", F.col("_n") - F.coalesce("_m", F.lit(0))).drop("_m"))
+        left = cut(stay.join(lost.hint("merge"), "_id", "left").withColumn("_n", F.col("_n") - F.coalesce("_m", F.lit(0))).drop("_m"))
     return found
 
 
@@ -149,25 +149,25 @@ def complete_link(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str
         sizes = decided.groupBy("cluster").agg(F.count("*").alias("size")) if decided is not None else None
         compatible = None
         if sizes is not None:
-            met = pairs.filter("cluster is not null and near").groupBy("i", "cluster").agg(F.count("*").alias("met")).join(sizes, "cluster")
+            met = pairs.filter("cluster is not null and near").groupBy("i", "cluster").agg(F.count("*").alias("met")).join(sizes.hint("merge"), "cluster")
             compatible = cut(met.filter("met = size").select("i", "cluster"))
-            first = left.join(compatible.groupBy("i").agg(F.min("cluster").alias("to")), "i", "left")
+            first = left.join(compatible.groupBy("i").agg(F.min("cluster").alias("to")).hint("merge"), "i", "left")
         else:
             first = left.withColumn("to", F.lit(None).cast(points.schema["i"].dataType))
         first = cut(first)
-        before = pairs.filter("cluster is null and j < i").join(first, "i")
+        before = pairs.filter("cluster is null and j < i").join(first.hint("merge"), "i")
         founds = before.filter("near and (to is null or j < to)").select("i")
         if compatible is not None:
             rival = compatible.select(F.col("i").alias("j"), F.col("cluster").alias("to"))
-            founds = founds.union(before.filter("not near and to is not null").join(rival, ["j", "to"], "left_semi").select("i"))
-        now = cut(first.join(founds.distinct(), "i", "left_anti").select("i", F.coalesce("to", "i").alias("cluster")))
+            founds = founds.union(before.filter("not near and to is not null").join(rival.hint("merge"), ["j", "to"], "left_semi").select("i"))
+        now = cut(first.join(founds.distinct().hint("merge"), "i", "left_anti").select("i", F.coalesce("to", "i").alias("cluster")))
         decided = now if decided is None else decided.union(now)
-        left = cut(left.join(now, "i", "left_anti"))
+        left = cut(left.join(now.hint("merge"), "i", "left_anti"))
         told = now.select(F.col("i").alias("j"), F.col("cluster").alias("its"))
-        pairs = cut(pairs.join(now.select("i"), "i", "left_anti").join(told, "j", "left").select("i", "j", "near", F.coalesce("cluster", "its").alias("cluster")))
+        pairs = cut(pairs.join(now.select("i").hint("merge"), "i", "left_anti").join(told.hint("merge"), "j", "left").select("i", "j", "near", F.coalesce("cluster", "its").alias("cluster")))
     odd = rows.filter(~_sound(at)).withColumn("cluster", F.col(key))
     if decided is None:
         return odd
     named = decided.select(*[F.col(f"i.{c}").alias(c) for c in by], F.col(f"i.{key}").alias("_first"), F.col(f"cluster.{key}").alias("cluster"))
-    whole = sound.join(places.withColumnRenamed(key, "_first"), [*by, *at]).join(named, [*by, "_first"])
+    whole = sound.join(places.withColumnRenamed(key, "_first").hint("merge"), [*by, *at]).join(named.hint("merge"), [*by, "_first"])
     return whole.select(*columns, "cluster").union(odd)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import rel
 from plumbline.registry import query
 from plumbline.sources import io
-from plumbline.tables import table
+from plumbline.tables import cut, dealt, table
 
 
 @query("latest_export", """SELECT o_custkey, o_orderstatus, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders JOIN (SELECT o_custkey AS c, max(o_orderdate) AS m FROM orders GROUP BY 1) ON c = o_custkey AND m = o_orderdate) GROUP BY ALL""")
@@ -72,7 +72,9 @@ def _meshes(spark, sf_dir):
     triangles = F.array(F.lit(0), F.lit(1), F.when(k % 17 == 3, n).otherwise(n - 1).cast("int"))
     one = F.struct(F.when(k % 17 == 1, F.slice(flat, 1, 12)).otherwise(flat).alias("transform"), F.when(k % 17 == 2, F.slice(vertices, 1, 4)).otherwise(vertices).alias("vertices"), triangles.alias("triangles"))
     doc = F.when(k % 17 == 0, F.lit('{"points": []}')).otherwise(F.to_json(F.struct(F.array(one, one).alias("parts"))))
-    return table(spark, sf_dir, "part").select(k.cast("string").alias("path"), doc.alias("doc"))
+    # Written, so that what is asked of documents is worked out after rows are dealt, not pushed below.
+    rows = cut(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"))
+    return rows.select(k.cast("string").alias("path"), doc.alias("doc"))
 
 
 @query("mesh_points", """SELECT p_partkey AS k, 2 * (p_size + 2)::BIGINT AS n, round(2 * (SELECT sum((i * 3 % 7 + p_partkey % 5) / 4 + p_partkey % 3) FROM range(p_size + 2) t(i)), 6) AS x FROM part WHERE p_partkey % 17 NOT IN (0, 1, 2)""")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import footprints, layouts, rel, spatial
-from plumbline.sources import io
+from plumbline.sources import io, queries_sources
 
 
 def plan(df):
@@ -53,3 +53,8 @@ def test_problems_at_one_place_meet_once(spark, monkeypatch):
 def test_fixture_rooms_and_meshes_are_dealt_before_they_grow(spark):
     made = io.fixture_rooms(spark.range(30).coalesce(1).withColumnRenamed("id", "room"))
     assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.count() == 30 * len(io.SHOP)
+
+
+def test_mesh_documents_are_made_after_rows_are_dealt(spark):
+    asked = io.mesh_parts(queries_sources._meshes(spark, "/root/testdata/sf0.001")).filter("size(transform) = 16")
+    assert "FileScan" not in plan(asked) and asked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
