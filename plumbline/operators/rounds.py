@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,11 +101,36 @@ def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str],
     return kept.select(*columns, F.col(key).alias("kept_as")).union(named).union(odd)
 
 
+#: Groups of at most so many rows are chosen from in one task, in memory bounded by its square.
+MOST_TOGETHER = 2048
+
+
+def _densest_together(points: DataFrame, by: Sequence[str], key: str, at: Sequence[str], radius: float) -> DataFrame:
+    """`densest` of groups of at most MOST_TOGETHER rows, one after the other in a task."""
+
+    def choose(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        near = np.sqrt(sum((np.subtract.outer(v, v) ** 2 for v in (pdf[c].to_numpy(float) for c in at)), 0.0)) <= radius
+        left, count, found = np.ones(len(pdf), bool), near.sum(1), []
+        while left.any():
+            best = int(np.where(left, count, -1).argmax())
+            found.append((best, int(count[best])))
+            covered = near[best] & left
+            count = count - near[:, covered].sum(1)
+            left &= ~covered
+        chosen = pd.DataFrame({c: pd.Series([v] * len(found), dtype=object) for c, v in zip(by, group, strict=True)})
+        return chosen.assign(**{key: pdf[key].to_numpy()[[i for i, _ in found]], "n": [n for _, n in found]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return points.select(*by, key, *at).groupBy(*by).applyInPandas(choose, ", ".join([*[f"`{c}` {kinds[c]}" for c in (*by, key)], "n long"]))
+
+
 def densest(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], radius: float) -> DataFrame:
     """(by, key, n) of centres: again and again the row with most uncovered rows within `radius` (the smallest key on ties), which covers them.
 
     A row that is best within twice the radius is chosen before anything changes its count, so all such rows are
     chosen together; the counts of those that stay lose what was covered around them. n counts the centre itself.
+    Rounds are for groups of more than MOST_TOGETHER rows; smaller ones are chosen from within a task each.
     """
     wide = _Grid(by, at, 2 * radius)
     rows = rows.select(*by, key, *at)
@@ -111,8 +138,16 @@ def densest(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], rad
     points = rows.filter(_sound(at)).withColumns({"_all": F.lit(0), "_id": name})
     count = lambda a, b: within(a, b, "_id", at, radius, group="_by", itself=True).groupBy("_id").agg(F.count("*").alias("_m"))
     points = points.withColumn("_by", F.struct(*by) if by else F.lit(0))
+    together = None
+    if by:
+        large = cut(points.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > MOST_TOGETHER).select(*[F.col(c).alias(f"_of_{c}") for c in by]))
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+        together = _densest_together(points.join(large.hint("merge"), same, "left_anti"), by, key, at, radius)
+        points = points.join(large.hint("merge"), same, "left_semi")
     left = cut(points.join(count(points, points).hint("merge"), "_id").withColumnRenamed("_m", "_n"))
     found = rows.filter(~_sound(at)).select(*by, key, F.lit(1).cast("long").alias("n"))
+    if together is not None:
+        found = found.union(together)
     while not left.isEmpty():
         ordered = wide.placed(left).withColumns({"_order": F.struct(-F.col("_n"), F.col(key)), "_side": F.col(key)})
         won = _winners(ordered, wide, key, wide.distance("_o_") <= 2 * radius, False)
