@@ -14,8 +14,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from plumbline.operators.spatial import within
 from plumbline.tables import cut
@@ -71,16 +73,67 @@ def _winners(left: DataFrame, grid: _Grid, key: str, near: Column, sided: bool)
     return cut(able.join(beaten.select(*who).distinct().hint("merge"), who, "left_anti"))
 
 
+#: Groups of at most so many rows are chosen from in one task, in memory bounded by its square.
+MOST_TOGETHER = 2048
+
+
+def _by_size(points: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of at most MOST_TOGETHER rows, and of larger ones; rows of a null group are a group."""
+    large = cut(points.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > MOST_TOGETHER).select(*[F.col(c).alias(f"_of_{c}") for c in by]))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return points.join(large.hint("merge"), same, "left_anti"), points.join(large.hint("merge"), same, "left_semi")
+
+
+def _apart(table: pa.Table, at: Sequence[str]) -> np.ndarray:
+    """Distances between all rows of a bounded group."""
+    return np.sqrt(sum((np.subtract.outer(v, v) ** 2 for v in (table[c].to_numpy().astype(float) for c in at)), 0.0))
+
+
+def _chosen_together(points: DataFrame, by: Sequence[str], order: str, key: str, name: str, choose) -> DataFrame:
+    """`points` with `name`: the key of the row that `choose` gives for each row of a group in `order`, a group a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        return table.append_column(name, table[key].take(pa.array(choose(table))))
+
+    kind = StructType([*points.schema.fields, StructField(name, points.schema[key].dataType)])
+    return points.groupBy(*by).applyInArrow(run, kind)
+
+
+def _apart_in_order(table: pa.Table, at: Sequence[str], radius: float, touching: bool) -> np.ndarray:
+    """For each row in order, the place of the first kept row of another side that is near it, or its own."""
+    distance, side = _apart(table, at), pd.factorize(table["_side"].to_pandas())[0]
+    near = (distance <= radius) if touching else (distance < radius)
+    near &= np.not_equal.outer(side, side)
+    kept, out = np.zeros(len(side), bool), np.arange(len(side))
+    for i in range(len(side)):
+        over = near[i, :i] & kept[:i]
+        if over.any():
+            out[i] = over.argmax()
+        else:
+            kept[i] = True
+    return out
+
+
 def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], radius: float, order: Sequence[Column] = (), side: str | None = None, touching: bool = True) -> DataFrame:
     """`rows` (by, key, at) with kept_as: in `order`, then by key, a row is kept unless a kept one is near it.
 
     Near is within `radius`, at the radius itself only if `touching`, and, where a `side` is named, of another side. A
-    row that isn't kept names the first kept one that is near it, a kept one itself.
+    row that isn't kept names the first kept one that is near it, a kept one itself. Rounds are for groups of more than
+    MOST_TOGETHER rows; smaller ones are chosen from within a task each.
     """
     grid = _Grid(by, at, radius)
     columns = list(dict.fromkeys([*by, key, *at, *([side] if side else [])]))
     whole = rows.select(*columns, F.struct(*order, F.col(key)).alias("_order"), F.col(side or key).alias("_side"))
-    left = all_rows = cut(grid.placed(whole.filter(_sound(at))))
+    # Of no side, a row is near none of another.
+    alone = ~_sound(at) | F.col(side or key).isNull()
+    odd = rows.filter(alone).select(*columns, F.col(key).alias("kept_as"))
+    whole = whole.filter(~alone)
+    if by:
+        few, whole = _by_size(whole, by)
+        placed = few.select(*columns, "_side", F.row_number().over(Window.partitionBy(*by).orderBy("_order")).alias("_at"))
+        odd = _chosen_together(placed, by, "_at", key, "kept_as", lambda table: _apart_in_order(table, at, radius, touching)).select(*columns, "kept_as").union(odd)
+    left = all_rows = cut(grid.placed(whole))
     kept = None
     near = (grid.distance("_o_") <= radius) if touching else (grid.distance("_o_") < radius)
     other = lambda df: df.select(*grid.place, *[F.col(c).alias(f"_o_{c}") for c in [*at, key, "_side", "_order"]])
@@ -91,7 +144,6 @@ def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str],
         meets = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in grid.place]
         rest = left.join(won.select(*by, key).hint("merge"), [*by, key], "left_anti").select(left.columns)
         left = cut(rest.alias("l").join(covers.hint("merge").alias("r"), [*meets, near & (F.col("_side") != F.col("_o__side"))], "left_anti"))
-    odd = rows.filter(~_sound(at)).select(*columns, F.col(key).alias("kept_as"))
     if kept is None:
         return odd
     kept = cut(kept)
@@ -101,10 +153,6 @@ def first_apart(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str],
     return kept.select(*columns, F.col(key).alias("kept_as")).union(named).union(odd)
 
 
-#: Groups of at most so many rows are chosen from in one task, in memory bounded by its square.
-MOST_TOGETHER = 2048
-
-
 def _densest_together(points: DataFrame, by: Sequence[str], key: str, at: Sequence[str], radius: float) -> DataFrame:
     """`densest` of groups of at most MOST_TOGETHER rows, one after the other in a task."""
 
@@ -140,10 +188,8 @@ def densest(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], rad
     points = points.withColumn("_by", F.struct(*by) if by else F.lit(0))
     together = None
     if by:
-        large = cut(points.groupBy(*by).agg(F.count("*").alias("_m")).filter(F.col("_m") > MOST_TOGETHER).select(*[F.col(c).alias(f"_of_{c}") for c in by]))
-        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-        together = _densest_together(points.join(large.hint("merge"), same, "left_anti"), by, key, at, radius)
-        points = points.join(large.hint("merge"), same, "left_semi")
+        few, points = _by_size(points, by)
+        together = _densest_together(few, by, key, at, radius)
     left = cut(points.join(count(points, points).hint("merge"), "_id").withColumnRenamed("_m", "_n"))
     found = rows.filter(~_sound(at)).select(*by, key, F.lit(1).cast("long").alias("n"))
     if together is not None:
@@ -160,6 +206,19 @@ def densest(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], rad
     return found
 
 
+def _links_in_order(table: pa.Table, at: Sequence[str], tolerance: float) -> np.ndarray:
+    """For each row in order, the place of the founder of its cluster."""
+    far = ~(_apart(table, at) <= tolerance)
+    founders: list[int] = []
+    own = np.zeros(len(far), np.int64)
+    for i in range(len(far)):
+        free = np.bincount(own[:i][far[i, :i]], minlength=len(founders)) == 0
+        own[i] = free.argmax() if free.any() else len(founders)
+        if own[i] == len(founders):
+            founders.append(i)
+    return np.array(founders, np.int64)[own]
+
+
 def complete_link(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str], tolerance: float) -> DataFrame:
     """`rows` (by, key, at) with cluster: in order of keys, a row joins the first cluster all of whose members are within the tolerance, else founds one.
 
@@ -168,11 +227,16 @@ def complete_link(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str
     before it could be kept apart from it there, or could found an earlier cluster that takes it; it founds one once it
     is compatible with none and no undecided row before it is within the tolerance. Clusters only become less
     compatible, so what is decided early is what the sequence decides. Pairs within twice the tolerance are held: work
-    grows with the places that near each other.
+    grows with the places that near each other. Rounds are for groups of more than MOST_TOGETHER rows; smaller ones are
+    linked within a task each.
     """
     columns = [*by, key, *at]
     rows = rows.select(columns)
     sound = rows.filter(_sound(at))
+    odd = rows.filter(~_sound(at)).withColumn("cluster", F.col(key))
+    if by:
+        few, sound = _by_size(sound, by)
+        odd = _chosen_together(few, by, key, key, "cluster", lambda table: _links_in_order(table, at, tolerance)).union(odd)
     places = cut(sound.groupBy(*by, *at).agg(F.min(key).alias(key)))
     id_of = F.struct(*by, F.col(key))
     points = places.select(id_of.alias("i"), *at, (F.struct(*by) if by else F.lit(0)).alias("_by"))
@@ -200,7 +264,6 @@ def complete_link(rows: DataFrame, by: Sequence[str], key: str, at: Sequence[str
         left = cut(left.join(now.hint("merge"), "i", "left_anti"))
         told = now.select(F.col("i").alias("j"), F.col("cluster").alias("its"))
         pairs = cut(pairs.join(now.select("i").hint("merge"), "i", "left_anti").join(told.hint("merge"), "j", "left").select("i", "j", "near", F.coalesce("cluster", "its").alias("cluster")))
-    odd = rows.filter(~_sound(at)).withColumn("cluster", F.col(key))
     if decided is None:
         return odd
     named = decided.select(*[F.col(f"i.{c}").alias(c) for c in by], F.col(f"i.{key}").alias("_first"), F.col(f"cluster.{key}").alias("cluster"))
