@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.tables import cut
+from plumbline.tables import cut, sent
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], inside: Column) -> DataFrame:
@@ -126,14 +126,14 @@ def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], accu
         inner = lambda i: F.lit(0.0 < ends[i] < 1.0)
         found = rows.groupBy("_g").agg(sketch.alias("_p"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("_total"))
         edges = [F.when(inner(i), F.col("_p")[i]).otherwise(F.col("_max" if i % 2 else "_min")) for i in range(2 * n)]
-        # Written, so that a group of many values is split in the join.
-        edges = cut(found.select(F.col("_g").alias("_of"), "_total", *[e.alias(f"_e{i}") for i, e in enumerate(edges)]))
+        # A row a group: where groups are few, their values stay in their tasks.
+        edges = sent(found.select(F.col("_g").alias("_of"), "_total", *[e.alias(f"_e{i}") for i, e in enumerate(edges)]))
         placed = rows.join(edges, F.col("_g").eqNullSafe(F.col("_of")))
         below = placed.groupBy("_g", "_total").agg(*[F.count_if(F.col("_v") < F.col(f"_e{2 * i}")).alias(f"_b{i}") for i in range(n)])
         which = F.array_compact(F.array(*[F.when((F.col("_v") >= F.col(f"_e{2 * i}")) & (F.col("_v") <= F.col(f"_e{2 * i + 1}")), F.lit(i)) for i in range(n)]))
         between = placed.select("_g", "_v", F.explode(which).alias("_i")).groupBy("_g", "_i", "_v").agg(F.count("*").alias("_n"))
         before = F.coalesce(*[F.when(F.col("_i") == i, F.col(f"_b{i}")) for i in range(n)])
-        counts = between.join(below.withColumnRenamed("_g", "_of"), F.col("_g").eqNullSafe(F.col("_of")))
+        counts = between.join(sent(below.withColumnRenamed("_g", "_of")), F.col("_g").eqNullSafe(F.col("_of")))
         counts = counts.withColumn("_upto", before + F.sum("_n").over(W.partitionBy("_g", "_i").orderBy("_v")))
         told = []
         for i, q in enumerate(qs):

@@ -3,6 +3,7 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that may be sent to every task.
+MOST_SENT = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """`df` written, and sent to every task in joins if it has at most MOST_SENT rows, by shuffles if it has more.
+
+    For few keys against many rows: a join by shuffles would sort all rows of a key in one task.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name below the one that the session shares: for what is written and read again."""
     import uuid
