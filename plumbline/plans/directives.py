@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.containment import held_in
+from plumbline.tables import cut, sent
 
 DIRECTIVE = """struct<id: string, verified: boolean, trigger: struct<typology: string, entities: array<string>>,
     inspection_queries: array<string>, constraints: array<struct<`check`: string, piece: string>>>"""
@@ -40,21 +41,23 @@ def triggered(directives: DataFrame, scenes: DataFrame, tokens: DataFrame) -> Da
     """(scene, id): directives whose typology holds a scene's (scene, typology), or the other way round, and one of whose entities a token (scene, token) of it holds.
 
     Case doesn't matter. A directive without a typology fits every scene's, and one without entities needs none. Texts
-    are compared once each, however many scenes have them.
+    are compared once each, however many scenes have them. What fits a kind or a token is sent to the scenes' tasks, if it is
+    few rows: kinds and tokens may be few, and a join by shuffles would bring all their scenes to a task each.
     """
     asked = directives.select("id", F.lower("typology").alias("asked"), F.transform("entities", F.lower).alias("entities"))
     kinds = scenes.select(F.lower("typology").alias("kind")).distinct()
     either = held_in(asked, kinds, "asked", "kind").union(held_in(kinds, asked, "kind", "asked").select("asked", "kind")).distinct()
     fits = asked.filter("asked <> ''").join(either, "asked").select("id", "kind")
     any_kind = asked.filter("coalesce(asked, '') = ''").select("id").crossJoin(F.broadcast(kinds))
-    by_kind = scenes.withColumn("kind", F.lower("typology")).join(fits.union(any_kind), "kind").select("scene", "id")
-    words = tokens.select("scene", F.lower("token").alias("token")).distinct()
+    by_kind = cut(fits.union(any_kind))
+    words = tokens.select("scene", F.lower("token").alias("token"))
     wanted = asked.select("id", F.explode("entities").alias("entity"))
     found = held_in(wanted, words, "entity", "token")
-    by_token = words.join(wanted.join(found, "entity").select("id", "token").distinct(), "token").select("scene", "id").distinct()
-    free = asked.filter("coalesce(size(entities), 0) = 0").select("id")
-    needing = by_kind.join(F.broadcast(free), "id", "left_anti").join(by_token, ["scene", "id"], "left_semi")
-    return needing.union(by_kind.join(F.broadcast(free), "id", "left_semi").select("scene", "id")).distinct()
+    free = asked.filter("coalesce(size(entities), 0) = 0").select("id").distinct()
+    by_both = by_kind.join(free, "id", "left_anti").join(wanted.join(found, "entity").select("id", "token").distinct(), "id").select("kind", "token", "id")
+    placed = scenes.select("scene", F.lower("typology").alias("kind"))
+    needing = placed.join(words.hint("merge"), "scene").join(sent(by_both), ["kind", "token"]).select("scene", "id").distinct()
+    return needing.union(placed.join(sent(by_kind.join(free, "id", "left_semi")), "kind").select("scene", "id").distinct())
 
 
 def brought(candidate: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:

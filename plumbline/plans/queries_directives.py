@@ -34,9 +34,9 @@ _DIRECTIVES = f"""d AS (SELECT n_name AS id, n_nationkey AS n, {list(_SEGMENTS)}
     WHERE n % 7 = 5 OR EXISTS (SELECT 1 FROM w WHERE l_orderkey = o_orderkey AND (contains(p_name, entities[1]) OR contains(p_name, entities[2])))""")
 def trigger_join(spark, sf_dir):
     """The directives that an order's segment and parts trigger."""
-    scenes = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("scene"), F.col("c_mktsegment").alias("typology"))
+    scenes = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").hint("merge"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("scene"), F.col("c_mktsegment").alias("typology"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("token"))
-    tokens = table(spark, sf_dir, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("scene"), "token")
+    tokens = table(spark, sf_dir, "lineitem").join(parts.hint("merge"), "l_partkey").select(F.col("l_orderkey").alias("scene"), "token")
     return directives.triggered(directives.parse_directives(corpus(spark, sf_dir)), scenes, tokens)
 
 
