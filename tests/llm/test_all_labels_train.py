@@ -1,8 +1,10 @@
 """Models learn from all labelled documents, however many."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, quality
+from plumbline.llm import common, quality, toxicity
 
 
 def test_quality_learns_from_all_trusted(spark):
@@ -20,3 +22,31 @@ def test_among_is_exact(spark):
     got = sorted((r.doc_id, r.n, r.cls) for r in common.among(rows, ids).collect())
     assert got == sorted((n % 1500 - 3, n, "x") for n in range(2000) if n % 1500 >= 3 and n % 3 == 0)
     assert common.among(rows, ids.limit(0)).isEmpty()
+
+
+def test_toxicity_learns_from_all_labelled(spark, monkeypatch):
+    # Each text has a word of its own; copies count once, and a fifth fits the curve.
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.expr("concat(if(id % 2 = 0, 'bad ', 'good '), 'w', id div 4 * 2 + id % 2)").alias("text"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic")
+    seen = []
+    levels = toxicity.levels
+    monkeypatch.setattr(toxicity, "levels", lambda train: seen.append(train.groupBy("cls").count().collect()) or levels(train))
+    got = toxicity.score(docs, labels, fold=(5, 5)).select("doc_id", "predicted").collect()
+    ids = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(5)) != 0).select("text", (F.col("doc_id") % 2).alias("odd")).distinct().groupBy("odd").count().collect()
+    assert {r.cls: r["count"] for r in seen[0]} == {"01"[r.odd == 0]: r["count"] for r in ids}
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in got)
+
+
+def test_toxicity_counts_by_brute_force(spark, prose):
+    train = [("01"[i % 2], prose(i, 40, 30)) for i in range(60)]
+    got = toxicity.levels(spark.createDataFrame(train, "cls string, text string")).collect()
+    two = Counter((c, p) for c, text in train for p in toxicity.pairs(text))
+    every = {p: (two["1", p], two["0", p]) for _, p in two}
+    often = {p: x for p, x in every.items() if sum(x) >= toxicity.LEAST_DOCS}
+    assert {(r.ctx, r.sym): (r.t, r.o) for r in got if r.n == 2 and r.sym is not None} == often
+    assert {(r.ctx, r.t, r.o): r.times for r in got if r.n == 2 and r.sym is None} == Counter((h, *x) for (h, w), x in every.items() if (h, w) not in often)
+    words = {w: [(h, x) for (h, v), x in every.items() if v == w] for _, w in every}
+    holds = Counter((c, w) for c, text in train for w in set(toxicity.tokens(text)))
+    assert {r.sym: (r.ctx, r.t, r.o, r.both, r.dt, r.do) for r in got if r.n == 1} == {
+        w: (w[: toxicity.STEM], sum(x[0] > 0 for _, x in b), sum(x[1] > 0 for _, x in b), len(b), holds["1", w], holds["0", w]) for w, b in words.items()
+    }
