@@ -6,7 +6,10 @@ before, skips to the word two and three before, and the pair of both neighbours.
 own, whose number grows with the distinct training tokens up to MOST_ROWS. They are trained by distributed gradient
 updates: in each round every partition of the training documents makes minibatch updates from the shared weights, and
 the rows that it touched are averaged over partitions, FAN of them at a time. Every training document is used in one
-round. Within a class, tokens have their training counts plus one, with one more place for unknown tokens.
+round. Within a class, P(token | class, context) is log-linear too: over the training counts plus one (one more place
+is for unknown tokens), it has a weight for each token of the head, and for a class's others together, after each class of
+the word before. Gradients of these weights follow from how often each token has each class before it in all training
+documents; tasks sum that up, and the driver, which holds CLASSES numbers a token of the head, climbs to the maximum.
 
 Counts of all tokens are kept as a table by token, which grows with the corpus. The `head` most frequent go to tasks; a document's
 other tokens meet the table in a join by token, after equal tokens of a document are combined.
@@ -38,6 +41,8 @@ SINGLE, CLASSES = 8, 32
 KINDS, LEAST_ROWS, MOST_ROWS, BLOCK, FAN = 4, 1024, 16_384, 256, 128
 #: Frequent tokens that go to tasks; rounds; tokens of a minibatch; step.
 HEAD, ROUNDS, BATCH, STEP = 65_536, 2, 16_384, 0.1
+#: Steps to the weights within classes, and their ridge.
+CLIMBS, RIDGE = 30, 1.0
 _FORM = CLASSES - SINGLE
 _START = np.uint64(0x0123456789ABCDE0)
 _SLOT = np.uint64(44)
@@ -99,18 +104,39 @@ def rows_for(distinct: int) -> int:
 class Model:
     """Head counts, class sizes and weights (a copy, as single floats), as tasks use them."""
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray, mass: np.ndarray, kinds: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+    def __init__(self, head: np.ndarray, counts: np.ndarray, mass: np.ndarray, kinds: np.ndarray, weights: np.ndarray, bias: np.ndarray, inner: np.ndarray | None = None):
+        # inner: by place in the head, then by class for tokens beside it, weights after each class of the word before.
         # head: sorted codes; the SINGLE most frequent have classes of their own.
         self.head, self.counts, self.weights, self.bias = head, counts, weights.astype(np.float32), bias
         self.classes = (head & np.uint64(63)).astype(np.int64)
         self.classes[np.argsort(-counts, kind="stable")[:SINGLE]] = np.arange(min(SINGLE, len(head)))
         self.size = np.log10(mass + kinds + 1.0)
         self.single = np.arange(CLASSES) < SINGLE
+        self.own = np.append(self.classes, np.arange(CLASSES))
+        self.base = np.append(counts + 1.0, np.maximum(mass + kinds + 1.0 - np.bincount(self.classes, counts + 1.0, CLASSES), 0)).astype(np.float32)
+        self.inner = (np.zeros((len(head) + CLASSES, CLASSES)) if inner is None else inner).astype(np.float32)
+        self.total = self.totals(self.base[:, None] * np.exp(self.inner))
         # Places by the first bits of codes; those that share them are looked up among all.
         slots = (head >> _SLOT).astype(np.int64)
         self.slots, self.shared = np.full(1 << 20, -1, np.int32), np.bincount(slots, minlength=1 << 20) > 1
         self.slots[slots] = np.arange(len(head))
 
+    def totals(self, x: np.ndarray) -> np.ndarray:
+        """Sums of rows by class."""
+        order = np.argsort(self.own, kind="stable")
+        return np.add.reduceat(x.take(order, axis=0), np.searchsorted(self.own[order], np.arange(CLASSES)), axis=0, dtype=np.float64)
+
+    def rows(self, classes: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token its row of weights within its class, and the class of the word before; a text begins after an end."""
+        before = np.concatenate([[CLASSES - 1], classes[:-1]])
+        before[starts] = CLASSES - 1
+        return np.where(at >= 0, at, len(self.head) + classes), before
+
+    def within(self, classes: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 P(token | class, context), less log10 of the token's count plus one."""
+        rows, before = self.rows(classes, at, starts)
+        return (self.inner[rows, before] - np.log(np.maximum(self.total, 1e-9))[classes, before]) / math.log(10)
+
     def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes, and places in the head or -1."""
         slot = (codes >> _SLOT).astype(np.int64)
@@ -227,6 +253,39 @@ def _round(train: DataFrame, shared, rows: int) -> np.ndarray:
     return out
 
 
+def _climbed(model: Model, n: np.ndarray) -> np.ndarray:
+    """Weights within classes of the greatest likelihood of `n` (rows of weights by classes before), less a ridge."""
+    w, found = model.inner, model.totals(n)
+    for _ in range(CLIMBS):
+        e = model.base[:, None] * np.exp(w)
+        e *= (found / np.maximum(model.totals(e), 1e-9)).astype(np.float32)[model.own]
+        w = w + np.clip((n - e - RIDGE * w) / (np.maximum(e, n) + RIDGE), -1, 1)
+    return w
+
+
+def _inner(train: DataFrame, shared) -> np.ndarray:
+    """Weights within classes, from all of `train` (text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, n = Model(*shared.value), None
+        for batch in batches:
+            for docs in _in_batches(list(batch["text"]), 8 * BATCH):
+                flat = np.concatenate(docs)
+                rows, before = model.rows(*model.look(flat), np.cumsum([0, *[len(d) for d in docs[:-1]]]))
+                found = np.bincount(rows * CLASSES + before, minlength=model.inner.size)
+                n = found if n is None else n + found
+        if n is not None:
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"at": at.astype(np.int32), "n": n[at]})
+
+    # At most CLASSES rows for each of HEAD + 1 + CLASSES rows of weights.
+    found = train.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    model = Model(*shared.value)
+    n = np.zeros(model.inner.size, np.float32)
+    n[found["at"].to_numpy()] = found["n"].to_numpy()
+    return _climbed(model, n.reshape(model.inner.shape)).astype(np.float16)
+
+
 def trained(train: DataFrame, counts: DataFrame):
     """The fitted model's parts, broadcast, with the number of training tokens N and of distinct ones V."""
     spark = train.sparkSession
@@ -252,7 +311,8 @@ def trained(train: DataFrame, counts: DataFrame):
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias))  # bounded by HEAD, MOST_ROWS, CLASSES
         weights = _round(train.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r), shared, rows)
-    return spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias)), n, v
+    inner = _inner(train, spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias)))
+    return spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias, inner)), n, v
 
 
 def score(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFrame:
@@ -278,7 +338,7 @@ def score(docs: DataFrame, fold: tuple[int, int] = (7, 2)) -> DataFrame:
                 p /= math.log(10)
                 in_head, alone = at >= 0, model.single[classes]
                 count_log = np.where(in_head, logs[at], 0.0)
-                p += np.where(alone, 0.0, count_log - model.size[classes])
+                p += np.where(alone, 0.0, count_log + model.within(classes, at, starts))
                 part = batch.iloc[done : done + len(docs)]
                 done += len(docs)
                 tail = [np.unique(d[~in_head[s : s + len(d)]].astype(np.int64), return_counts=True) for d, s in zip(docs, starts, strict=True)]

@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, quality, toxicity
+from plumbline.llm import common, lm_scoring, quality, toxicity
 
 
 def test_quality_learns_from_all_trusted(spark):
@@ -50,3 +52,23 @@ def test_toxicity_counts_by_brute_force(spark, prose):
     assert {r.sym: (r.ctx, r.t, r.o, r.both, r.dt, r.do) for r in got if r.n == 1} == {
         w: (w[: toxicity.STEM], sum(x[0] > 0 for _, x in b), sum(x[1] > 0 for _, x in b), len(b), holds["1", w], holds["0", w]) for w, b in words.items()
     }
+
+
+def test_lm_tokens_follow_context_within_classes(spark):
+    # After a number comes always one word, after a mark another; both words have the class of their last letters.
+    singles = " ".join(f"s{i}x s{i}x s{i}x" for i in range(20))
+    rows = [(i, f"{singles} 12 xing {i % 7} xing ... aing !! aing ") for i in range(400)]
+    docs = common.texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    counts = common.cut(lm_scoring.token_counts(docs))
+    model = lm_scoring.Model(*lm_scoring.trained(docs, counts)[0].value)
+    some = ["x 12 xing", "x 12 aing", "x ... xing", "x ... aing", "unheard 12 newword"]
+    found = [lm_scoring._tokens(t) for t in some]
+    flat, starts = np.concatenate(found), np.cumsum([0, *[len(d) for d in found[:-1]]])
+    classes, at = model.look(flat)
+    if model.single[classes[starts + 2]].any():
+        pytest.skip("words have classes of their own")
+    p = (model.within(classes, at, starts) + np.log10(np.where(at >= 0, model.counts[at], 0) + 1))[starts + 2]
+    assert p[0] > p[1] + 1 and p[3] > p[2] + 1
+    # Tokens of a class, and what is unknown, sum to one after each class.
+    every = model.totals(model.base[:, None] * np.exp(model.inner) / np.maximum(model.total, 1e-9)[model.own])
+    assert every[model.total > 1e-6] == pytest.approx(1, abs=1e-4)
