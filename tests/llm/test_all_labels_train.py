@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_toxicity_counts_by_brute_force(spark, prose):
     }
 
 
+def test_toxicity_moves_training_texts_once(spark, monkeypatch, prose):
+    # What passes read is written: no pass shuffles texts again. Pairs travel without words, and few documents are objects at once.
+    docs = spark.createDataFrame([(i, prose(i, 30, 30)) for i in range(300)] + [(7, prose(7, 30, 30)), (7, "else")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic").distinct()
+    seen, levels = [], toxicity.levels
+    monkeypatch.setattr(toxicity, "levels", lambda train: seen.append(train) or levels(train))
+    toxicity.score(docs, labels)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and seen[0].count() > 150
+    assert toxicity._pair_events(seen[0], 0).columns == ["ctx", "sym", "t", "o"]
+    batch = pa.RecordBatch.from_pydict({"cls": ["0"] * 5000, "text": ["x"] * 5000})
+    assert max(len(some) for _, some in toxicity._run_of([batch])) == toxicity.AT_ONCE < 2048
+
+
 def test_lm_tokens_follow_context_within_classes(spark):
     # After a number comes always one word, after a mark another; both words have the class of their last letters.
     singles = " ".join(f"s{i}x s{i}x s{i}x" for i in range(20))
