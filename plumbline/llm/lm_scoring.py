@@ -9,7 +9,8 @@ the rows that it touched are averaged over partitions, FAN of them at a time. Ev
 round. Within a class, P(token | class, context) is log-linear too: over the training counts plus one (one more place
 is for unknown tokens), it has a weight for each token of the head, and for a class's others together, after each class of
 the word before. Gradients of these weights follow from how often each token has each class before it in all training
-documents; tasks sum that up, and the driver, which holds CLASSES numbers a token of the head, climbs to the maximum.
+documents; the tasks of the rounds sum that up beside their updates, and the driver, which holds CLASSES numbers a token of
+the head, climbs to the maximum.
 
 Counts of all tokens are kept as a table by token, which grows with the corpus. The `head` most frequent go to tasks; a document's
 other tokens meet the table in a join by token, after equal tokens of a document are combined.
@@ -165,7 +166,8 @@ def _features(docs: list[np.ndarray], rows: int) -> tuple[np.ndarray, list[np.nd
     return flat, [(mix(x) & np.uint64(rows - 1)).astype(np.int64) + k * rows for k, x in enumerate(contexts)], starts
 
 
-def _log_p(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], at: slice) -> np.ndarray:
+def _shifted(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], at: slice) -> np.ndarray:
+    """Logarithms of what classes' probabilities are in proportion to, 0 at the most."""
     z = weights.take(features[0][at], axis=0)
     z += bias
     for f in features[1:]:
@@ -174,10 +176,22 @@ def _log_p(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], at
     while most.shape[1] % 2 == 0:
         most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
     z -= most.max(axis=1, keepdims=True)
+    return z
+
+
+def _log_p(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], at: slice) -> np.ndarray:
+    z = _shifted(weights, bias, features, at)
     z -= np.log(np.exp(z) @ _ONES)[:, None]
     return z
 
 
+def _p(weights: np.ndarray, bias: np.ndarray, features: list[np.ndarray], at: slice) -> np.ndarray:
+    z = _shifted(weights, bias, features, at)
+    np.exp(z, out=z)
+    z /= (z @ _ONES)[:, None]
+    return z
+
+
 def _in_batches(texts_: list[str], most: int) -> Iterator[list[np.ndarray]]:
     some, n = [], 0
     for t in texts_:
@@ -204,8 +218,30 @@ def _unpacked(places: bytes, w: bytes, touched: bytes) -> tuple[np.ndarray, np.n
     return np.frombuffer(places, np.uint8).astype(np.int64), np.frombuffer(w, np.float16).reshape(-1, CLASSES), np.frombuffer(touched, np.float32)
 
 
+def _packed_counts(task: int, n: np.ndarray) -> pd.DataFrame:
+    """Counts that aren't 0, a row a block, whose number is less than 0: their places in it, and the counts."""
+    out = []
+    for b in range(0, len(n), BLOCK * CLASSES):
+        at = np.flatnonzero(n[b : b + BLOCK * CLASSES])
+        if len(at):
+            c = n[b + at]
+            out.append((task, -1 - b, at.astype(np.uint16).tobytes(), c.astype(np.min_scalar_type(c.max())).tobytes(), b""))
+    return pd.DataFrame(out, columns=["task", "block", "places", "w", "touched"])
+
+
+def _unpacked_counts(places: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(places, np.uint16)
+    return at.astype(np.int64), np.frombuffer(c, f"u{len(c) // len(at)}").astype(np.int64)
+
+
 def _mean(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of weights: the means of rows, by how many tasks touched each."""
+    """One block: of weights, the means of rows, by how many tasks touched each; of counts, the sums."""
+    if rows["block"].iloc[0] < 0:
+        n = np.zeros(BLOCK * CLASSES, np.int64)
+        for packed in zip(rows["places"], rows["w"], strict=True):
+            at, c = _unpacked_counts(*packed)
+            n[at] += c
+        return _packed_counts(rows["task"].iloc[0], n).assign(block=rows["block"].iloc[0])
     total, touched = np.zeros((BLOCK, CLASSES), np.float32), np.zeros(BLOCK, np.float32)
     for packed in zip(rows["places"], rows["w"], rows["touched"], strict=True):
         at, w, n = _unpacked(*packed)
@@ -215,19 +251,22 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
     return _packed(rows["task"].iloc[0], total, touched).assign(block=rows["block"].iloc[0])
 
 
-def _round(train: DataFrame, shared, rows: int) -> np.ndarray:
-    """Weights after one round of updates on `train` (text), averaged over the tasks that touched a row."""
+def _round(train: DataFrame, shared, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after one round of updates on `train` (text), averaged over the tasks that touched a row; how often each
+    row of weights within classes (a token of the head, a class's others) has each class before it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
-        w, energy = model.weights, np.zeros(KINDS * rows, np.float32)
+        w, energy, n = model.weights, np.zeros(KINDS * rows, np.float32), np.zeros(model.inner.size, np.int64)
         for batch in batches:
             for docs in _in_batches(list(batch["text"]), 8 * BATCH):
-                flat, features, _ = _features(docs, rows)
-                classes, _ = model.look(flat)
+                flat, features, starts = _features(docs, rows)
+                classes, places = model.look(flat)
+                own, before = model.rows(classes, places, starts)
+                np.add.at(n, own * CLASSES + before, 1)
                 for i in range(0, len(flat), BATCH):
                     at = slice(i, i + BATCH)
-                    g = np.exp(_log_p(w, model.bias, features, at))
+                    g = _p(w, model.bias, features, at)
                     g[np.arange(len(g)), classes[at]] -= 1
                     for k, f in enumerate(features):
                         order = np.argsort((f[at] - k * rows).astype(np.uint16), kind="stable")
@@ -239,18 +278,23 @@ def _round(train: DataFrame, shared, rows: int) -> np.ndarray:
                         step *= (STEP / np.sqrt(energy[own] + 1e-3))[:, None]
                         w[own] -= step
         yield _packed(TaskContext.get().partitionId(), w, (energy > 0).astype(np.float32))
+        yield _packed_counts(TaskContext.get().partitionId(), n)
 
     kind = "task int, block int, places binary, w binary, touched binary"
     made = train.select("text").mapInPandas(run, kind)
-    # Means of FAN tasks, of FAN such groups, and of what is left.
+    # Means and sums of FAN tasks, of FAN such groups, and of what is left.
     for _ in range(2):
         made = made.withColumn("task", F.expr(f"cast(task div {FAN} as int)")).groupBy("task", "block").applyInPandas(_mean, kind)
     made = made.groupBy("block").applyInPandas(_mean, kind)
-    out = shared.value[4].copy()
+    out, n = shared.value[4].copy(), np.zeros((len(shared.value[0]) + CLASSES) * CLASSES, np.int64)
     for r in made.toLocalIterator():
-        at, w, _ = _unpacked(r.places, r.w, r.touched)
-        out[r.block + at] = w
-    return out
+        if r.block < 0:
+            at, c = _unpacked_counts(r.places, r.w)
+            n[-1 - r.block + at] = c
+        else:
+            at, w, _ = _unpacked(r.places, r.w, r.touched)
+            out[r.block + at] = w
+    return out, n
 
 
 def _climbed(model: Model, n: np.ndarray) -> np.ndarray:
@@ -263,29 +307,6 @@ def _climbed(model: Model, n: np.ndarray) -> np.ndarray:
     return w
 
 
-def _inner(train: DataFrame, shared) -> np.ndarray:
-    """Weights within classes, from all of `train` (text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, n = Model(*shared.value), None
-        for batch in batches:
-            for docs in _in_batches(list(batch["text"]), 8 * BATCH):
-                flat = np.concatenate(docs)
-                rows, before = model.rows(*model.look(flat), np.cumsum([0, *[len(d) for d in docs[:-1]]]))
-                found = np.bincount(rows * CLASSES + before, minlength=model.inner.size)
-                n = found if n is None else n + found
-        if n is not None:
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"at": at.astype(np.int32), "n": n[at]})
-
-    # At most CLASSES rows for each of HEAD + 1 + CLASSES rows of weights.
-    found = train.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    model = Model(*shared.value)
-    n = np.zeros(model.inner.size, np.float32)
-    n[found["at"].to_numpy()] = found["n"].to_numpy()
-    return _climbed(model, n.reshape(model.inner.shape)).astype(np.float16)
-
-
 def trained(train: DataFrame, counts: DataFrame):
     """The fitted model's parts, broadcast, with the number of training tokens N and of distinct ones V."""
     spark = train.sparkSession
@@ -307,11 +328,13 @@ def trained(train: DataFrame, counts: DataFrame):
         kinds[form] -= c[i] > 0
         mass[model.classes[i]], kinds[model.classes[i]] = c[i], 1
     bias = np.log((mass + 1) / (n + CLASSES)).astype(np.float32)
-    weights = model.weights.astype(np.float16)
-    for r in range(ROUNDS):
+    weights, follows = model.weights.astype(np.float16), 0
+    for r in range(ROUNDS):  # every document is in one
         shared = spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias))  # bounded by HEAD, MOST_ROWS, CLASSES
-        weights = _round(train.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r), shared, rows)
-    inner = _inner(train, spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias)))
+        weights, found = _round(train.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == r), shared, rows)
+        follows = follows + found
+    model = Model(head, c, mass, kinds, weights, bias)
+    inner = _climbed(model, follows.reshape(model.inner.shape).astype(np.float32)).astype(np.float16)
     return spark.sparkContext.broadcast((head, c, mass, kinds, weights, bias, inner)), n, v
 
 

@@ -87,3 +87,36 @@ def test_lm_tokens_follow_context_within_classes(spark):
     # Tokens of a class, and what is unknown, sum to one after each class.
     every = model.totals(model.base[:, None] * np.exp(model.inner) / np.maximum(model.total, 1e-9)[model.own])
     assert every[model.total > 1e-6] == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_reads_training_texts_once_a_round(spark, monkeypatch, prose):
+    texts = [prose(i, 20 + i % 9, 90) for i in range(120)] + [""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts, read, seen = common.cut(lm_scoring.token_counts(docs)), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    climbed = lm_scoring._climbed
+    monkeypatch.setattr(lm_scoring, "_climbed", lambda model, n: seen.append((model, n)) or climbed(model, n))
+    lm_scoring.trained(docs.mapInPandas(counted, docs.schema), counts)
+    # The rounds count what follows what; no pass of its own does.
+    assert read.value == lm_scoring.ROUNDS * len(texts)
+    (model, n), want = seen[0], Counter()
+    for t in texts:
+        classes, at = model.look(lm_scoring._tokens(t))
+        before = lm_scoring.CLASSES - 1
+        for cls, place in zip(classes.tolist(), at.tolist(), strict=True):
+            want[place if place >= 0 else len(model.head) + cls, before] += 1
+            before = cls
+    assert {(int(r), int(b)): int(n[r, b]) for r, b in zip(*np.nonzero(n), strict=True)} == want
+    # Sums of many tasks' blocks, beyond what 32 bits hold.
+    some = np.zeros(3 * lm_scoring.BLOCK * lm_scoring.CLASSES, np.int64)
+    some[[0, 9000, 9001]] = 2**33, 300, 1
+    blocks = lm_scoring._packed_counts(4, some)
+    for block, rows in blocks.loc[blocks.index.repeat(3)].groupby("block"):
+        at, c = lm_scoring._unpacked_counts(*lm_scoring._mean(rows)[["places", "w"]].iloc[0])
+        assert (c == 3 * some[-1 - block + at]).all()
+    assert len(blocks) == 2
